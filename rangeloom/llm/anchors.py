@@ -22,6 +22,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common as C
 
@@ -184,9 +185,14 @@ def contexts(s: Symbols, shared: np.ndarray) -> Contexts:
     return Contexts(key[lead], s.ids[doc[lead]], a[lead], b[lead], of, doc, a)
 
 
-def remove_repeats(docs: DataFrame, read: Callable[[list[bytes], np.ndarray], Symbols], engine: Engine, finish: Callable[[Symbols, np.ndarray], dict], schema: str, block_bytes: int) -> DataFrame:
-    """`finish` gets a block's symbols and which of them are repeats of documents with smaller ids."""
-    docs = C.documents(docs)
+def remove_repeats(docs: DataFrame, read: Callable[[list[bytes], np.ndarray], Symbols], engine: Engine, finish: Callable[[Symbols, np.ndarray], dict], schema: str, block_bytes: int, carry: bool = False) -> DataFrame:
+    """`finish` gets a block's symbols and which of them are repeats of documents with smaller ids.
+
+    `carry` keeps the other columns of docs, as a struct `rest` that schema names too.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] if carry else []
+    C.ship(docs.sparkSession)
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *([F.struct(*[docs[c] for c in others]).alias("rest")] if others else []))
     blocks = C.block_count(docs, block_bytes)
     shards = blocks
     rows = C.in_blocks(docs, blocks)
@@ -268,14 +274,12 @@ def remove_repeats(docs: DataFrame, read: Callable[[list[bytes], np.ndarray], Sy
         edge = np.zeros(len(s.value) + 1, np.int32)
         np.add.at(edge, c.at[occurrence] + a[pick], 1)
         np.add.at(edge, c.at[occurrence] + b[pick], -1)
-        return pa.table({"doc_id": table["doc_id"].combine_chunks()} | finish(s, np.cumsum(edge[:-1], dtype=np.int32) > 0))
+        return pa.table({"doc_id": table["doc_id"].combine_chunks()} | ({"rest": table["rest"]} if others else {}) | finish(s, np.cumsum(edge[:-1], dtype=np.int32) > 0))
 
     def last(table: pa.Table, answers: pa.Table) -> pa.Table:
         kinds = answers["kind"].to_numpy()
         return remove(table, answers.filter(pa.array(kinds == 0)), answers.filter(pa.array(kinds == 1)))
 
-    from pyspark.sql import functions as F
-
     shared = rows.groupBy("block").applyInArrow(ask, C.PACKET_SCHEMA).groupBy("shard").applyInArrow(tell, C.PACKET_SCHEMA)
     spans = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send, C.PACKET_SCHEMA).groupBy("shard").applyInArrow(compare, C.PACKET_SCHEMA)
     answers = shared.withColumn("kind", F.lit(0)).unionAll(spans.withColumn("kind", F.lit(1)))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, graph, langid, lm, quality, rlz, simhash, suffix, tokenfile
+from . import bpe, decontam, graph, langid, lm, minhash, quality, rlz, simhash, suffix, tokenfile
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,6 +41,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.dedup(_table(spark, sf_dir, "documents"))
 

@@ -99,3 +99,12 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     joined = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "component_id")
     return prints.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 3, radius: int = 4) -> DataFrame:
+    """The document with the least doc_id of each group, with all its columns; one row of a repeated id.
+
+    Rows without a doc_id can't stand for a group: they stay as they are.
+    """
+    kept = near_groups(docs.where(docs["doc_id"].isNotNull()), words, radius).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionAll(docs.where(docs["doc_id"].isNull()))

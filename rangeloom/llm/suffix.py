@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import anchors as A
 from . import common as C
@@ -103,17 +104,34 @@ def _kept(s: A.Symbols, removed: np.ndarray) -> list[bytes]:
     return [flat[a:b][~removed[a:b]].tobytes() if removed[a:b].any() else s.raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def dedup(docs: DataFrame, block_bytes: int = C.BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, block_bytes: int = C.BLOCK_BYTES) -> DataFrame:
     """Removes each byte covered by a WINDOW-byte string that also starts in a document with a smaller doc_id.
 
     Null texts are empty. Rows that share a doc_id are one document's: they don't remove each other's
-    bytes. A null doc_id counts as the smallest. No rows give no rows. `keep_text` adds the kept bytes
-    as `kept`.
+    bytes. A null doc_id counts as the smallest. No rows give no rows.
     """
 
     def finish(s: A.Symbols, removed: np.ndarray) -> dict:
         gone, parts = A.runs(removed, s.start)
         kept = _kept(s, removed)
-        return {"n_bytes": np.diff(s.start), "n_removed": gone, "n_spans": parts, "kept_sha256": A.hexes(kept)} | ({"kept": kept} if keep_text else {})
+        return {"n_bytes": np.diff(s.start), "n_removed": gone, "n_spans": parts, "kept_sha256": A.hexes(kept)}
 
-    return A.remove_repeats(docs, A.as_bytes, spans, finish, SCHEMA + ", kept binary" * keep_text, block_bytes)
+    return A.remove_repeats(docs, A.as_bytes, spans, finish, SCHEMA, block_bytes)
+
+
+def trim(docs: DataFrame, block_bytes: int = C.BLOCK_BYTES) -> DataFrame:
+    """The documents with such bytes taken out of their texts, and all other columns.
+
+    A character that is cut goes whole; `n_chars`, if there is one, follows the text.
+    """
+    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+
+    def finish(s: A.Symbols, removed: np.ndarray) -> dict:
+        return {"text": [x.decode("utf-8", "ignore") for x in _kept(s, removed)]}
+
+    rest = f"rest struct<{', '.join(f'`{f.name}`: {f.dataType.simpleString()}' for f in others)}>, " if others else ""
+    out = A.remove_repeats(docs, A.as_bytes, spans, finish, f"doc_id long, {rest}text string", block_bytes, carry=True)
+    at = {f.name: F.col("rest")[f.name] for f in others}
+    if "n_chars" in at:
+        at["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[at.get(c, F.col(c)).alias(c) for c in docs.columns])
