@@ -23,13 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common as C
 
 WINDOW, GRAM = 50, 24
 REACH = WINDOW - GRAM + 1  # grams of a window
 #: Symbols that are hashed at once.
-CHUNK = 1_500_000
+CHUNK = 500_000
 NULL_ID = -(2**63)  # a null doc_id counts as smaller than every other
 #: (contexts in one buffer of units, offsets, least ids) and their anchors to spans (context, from, to, least id)
 Engine = Callable[[np.ndarray, list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -52,7 +53,7 @@ class Symbols:
 
 def as_bytes(texts: list[bytes], ids: np.ndarray) -> Symbols:
     raw = b"".join(texts)
-    return Symbols(np.frombuffer(raw, np.uint8).astype(C.U64) + C.U64(1), _offsets([len(t) for t in texts]), ids, raw, None)
+    return Symbols(np.frombuffer(raw, np.uint8), _offsets([len(t) for t in texts]), ids, raw, None)
 
 
 def as_words(texts: list[bytes], ids: np.ndarray) -> Symbols:
@@ -119,7 +120,7 @@ def anchors(value: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
         for i in range(0, len(first), 20_000):
             part = first[i : i + 20_000]
             at[i : i + 20_000] = part + np.argmax(h[part[:, None] + np.arange(REACH)] == low[part][:, None], axis=1)
-        out.append((low[first], first, np.minimum(last, at)))
+        out.append((C.mixed(low[first] + C.U64(1)), first, np.minimum(last, at)))  # least hashes are small: spread them again
         again = last > at
         first, last = at[again] + 1, last[again]
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else anchors(value[:0], start)
@@ -134,13 +135,26 @@ def chunks(s: Symbols) -> Iterator[tuple[int, np.ndarray]]:
         i = j
 
 
-def all_anchors(s: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document, first window, last window) of a block."""
+def all_anchors(s: Symbols, shared: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(hash, document, first window, last window, hash of the context) of a block's anchors.
+
+    With `shared`, only of those in it, and with context hashes; without, the last is empty.
+    """
     parts = []
     for i, start in chunks(s):
-        key, a, b = anchors(s.value[start[0] : start[-1]], start - start[0])
-        parts.append((key, i + np.searchsorted(start, a + start[0], side="right") - 1, a + start[0], b + start[0]))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, C.U64), *[np.empty(0, np.int64)] * 3)
+        value = s.value[start[0] : start[-1]].astype(C.U64) + C.U64(1)
+        start = start - start[0]
+        key, a, b = anchors(value, start)
+        content = np.empty(0, C.U64)
+        if shared is not None:
+            keep = shared[np.minimum(np.searchsorted(shared, key), len(shared) - 1)] == key if len(shared) else np.zeros(len(key), bool)
+            key, a, b = key[keep], a[keep], b[keep]
+            running, inverse = prefix_hash(value)
+            content = C.mixed((running[b + WINDOW] - running[a]) * inverse[a] + (b - a).astype(C.U64))
+        base = s.start[i]
+        parts.append((key, i + np.searchsorted(start, a, side="right") - 1, a + base, b + base, content))
+    empty = np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (empty.astype(C.U64), empty, empty, empty, empty.astype(C.U64))
 
 
 def prefix_hash(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,14 +183,8 @@ class Contexts:
 
 
 def contexts(s: Symbols, shared: np.ndarray) -> Contexts:
-    key, doc, a, b = all_anchors(s)
-    found = np.searchsorted(shared, key)
-    keep = np.zeros(len(key), bool)
-    if len(shared):
-        keep = shared[np.minimum(found, len(shared) - 1)] == key
-    key, doc, a, b = key[keep], doc[keep], a[keep], b[keep] + WINDOW
-    running, inverse = prefix_hash(s.value)
-    content = C.mixed((running[b] - running[a]) * inverse[a] + (b - a).astype(C.U64))
+    key, doc, a, b, content = all_anchors(s, shared)
+    b = b + WINDOW
     order = np.lexsort((s.ids[doc], content, key))
     key, content, doc, a, b = (x[order] for x in (key, content, doc, a, b))
     new = np.ones(len(key), bool)
@@ -185,7 +193,7 @@ def contexts(s: Symbols, shared: np.ndarray) -> Contexts:
     return Contexts(key[lead], s.ids[doc[lead]], a[lead], b[lead], of, doc, a)
 
 
-def remove_repeats(docs: DataFrame, read: Callable[[list[bytes], np.ndarray], Symbols], engine: Engine, finish: Callable[[Symbols, np.ndarray], dict], schema: str, block_bytes: int, carry: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, read: Callable[[list[bytes], np.ndarray], Symbols], engine: Engine, finish: Callable[[Symbols, np.ndarray], dict], schema: str | StructType, block_bytes: int, carry: bool = False) -> DataFrame:
     """`finish` gets a block's symbols and which of them are repeats of documents with smaller ids.
 
     `carry` keeps the other columns of docs, as a struct `rest` that schema names too.
@@ -202,7 +210,7 @@ def remove_repeats(docs: DataFrame, read: Callable[[list[bytes], np.ndarray], Sy
 
     def ask(table: pa.Table) -> pa.Table:
         s = symbols(table)
-        key, doc, _, _ = all_anchors(s)
+        key, doc, *_ = all_anchors(s)
         ids = s.ids[doc]
         order = np.argsort(key, kind="stable")
         key, ids = key[order], ids[order]
@@ -274,7 +282,7 @@ def remove_repeats(docs: DataFrame, read: Callable[[list[bytes], np.ndarray], Sy
         edge = np.zeros(len(s.value) + 1, np.int32)
         np.add.at(edge, c.at[occurrence] + a[pick], 1)
         np.add.at(edge, c.at[occurrence] + b[pick], -1)
-        return pa.table({"doc_id": table["doc_id"].combine_chunks()} | ({"rest": table["rest"]} if others else {}) | finish(s, np.cumsum(edge[:-1], dtype=np.int32) > 0))
+        return pa.table({"doc_id": table["doc_id"].combine_chunks()} | ({"rest": table["rest"]} if others else {}) | finish(s, np.cumsum(edge, out=edge)[:-1] > 0))
 
     def last(table: pa.Table, answers: pa.Table) -> pa.Table:
         kinds = answers["kind"].to_numpy()
@@ -288,13 +296,19 @@ def remove_repeats(docs: DataFrame, read: Callable[[list[bytes], np.ndarray], Sy
 
 def runs(removed: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(removed symbols, maximal removed runs) of each document."""
-    total = _offsets(removed)
     rise = removed.copy()
     rise[1:] &= ~removed[:-1]
     inner = start[:-1][start[:-1] < len(removed)]
     rise[inner] = removed[inner]
-    rises = _offsets(rise)
-    return total[start[1:]] - total[start[:-1]], rises[start[1:]] - rises[start[:-1]]
+    return _sums(removed, start), _sums(rise, start)
+
+
+def _sums(flags: np.ndarray, start: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(start) - 1, np.int64)
+    some = np.flatnonzero(np.diff(start))
+    if len(some):
+        out[some] = np.add.reduceat(flags.view(np.uint8), start[some], dtype=np.int64)
+    return out
 
 
 def hexes(parts: list[bytes]) -> list[str]:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text in one block: what a Python worker holds at once, a tenth of its memory.
-BLOCK_BYTES = 10_000_000
+BLOCK_BYTES = 8_000_000
 U64 = np.uint64
 MULTIPLIER = 0x9E3779B97F4A7C15
 PACKET_SCHEMA = "shard int, block int, payload binary"
@@ -152,3 +152,21 @@ def word_ids(texts: list[bytes], end: bytes | None = None) -> tuple[np.ndarray,
         sizes[i] = len(words)
         parts.append(np.fromiter((known(w, len(seen)) for w in words), np.int32, len(words)))
     return (np.concatenate(parts) if parts else np.empty(0, np.int32)), sizes, list(seen)
+
+
+class Kept(dict):
+    """Values of `make`, kept while they are in use: at most twice `size`, in two generations."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

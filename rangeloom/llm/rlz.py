@@ -53,7 +53,7 @@ class ReferenceBlock:
             if (word[source : source + A.WINDOW] != word[base + i : base + end]).any():
                 i += 1  # equal hashes of unequal strings
                 continue
-            # longer while the next string has its earliest place next to this one's, or as early an owner
+            # longer while the next string has its earliest place next to this one's
             while end - A.WINDOW + 1 < n and self.owner[lo + end - A.WINDOW + 1] == owner and self.source[lo + end - A.WINDOW + 1] == source + end - A.WINDOW + 1 - i:
                 if word[source + end - i] != word[base + end]:
                     break

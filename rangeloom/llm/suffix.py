@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import anchors as A
 from . import common as C
@@ -129,8 +130,8 @@ def trim(docs: DataFrame, block_bytes: int = C.BLOCK_BYTES) -> DataFrame:
     def finish(s: A.Symbols, removed: np.ndarray) -> dict:
         return {"text": [x.decode("utf-8", "ignore") for x in _kept(s, removed)]}
 
-    rest = f"rest struct<{', '.join(f'`{f.name}`: {f.dataType.simpleString()}' for f in others)}>, " if others else ""
-    out = A.remove_repeats(docs, A.as_bytes, spans, finish, f"doc_id long, {rest}text string", block_bytes, carry=True)
+    schema = StructType([StructField("doc_id", LongType()), *([StructField("rest", StructType(others))] if others else []), StructField("text", StringType())])
+    out = A.remove_repeats(docs, A.as_bytes, spans, finish, schema, block_bytes, carry=True)
     at = {f.name: F.col("rest")[f.name] for f in others}
     if "n_chars" in at:
         at["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
