@@ -90,8 +90,8 @@ def partition_statistics(data: DataFrame, partitions: list[Partition], column: s
     kind = "long" if ps[0].type is KeyType.INT else "timestamp_ntz"
     key = F.col(ps[0].key_column).cast(kind)
     at = range_index(key, [p.lower for p in ps], [p.upper for p in ps], kind)
-    values = [F.min(column).alias("low"), F.max(column).alias("high")] if column else []
-    stats = data.select(at.alias("at"), key.alias("key"), *([F.col(column)] if column and column != "key" else [])).where("at is not null").groupBy("at").agg(F.count(F.lit(1)).alias("rows"), F.max("key").alias("max_key"), *values)
+    values = [F.min("value").alias("low"), F.max("value").alias("high")] if column else []
+    stats = data.select(at.alias("at"), key.alias("key"), *([F.col(column).alias("value")] if column else [])).where("at is not null").groupBy("at").agg(F.count(F.lit(1)).alias("rows"), F.max("key").alias("max_key"), *values)
     names = F.array(*[F.lit(p.partition_name) for p in ps])
     return stats.select(F.get(names, F.col("at")).alias("partition_name"), "rows", "max_key", *(["low", "high"] if column else []), "at")
 
