@@ -11,27 +11,38 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs, ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 from . import graph
+from .bpe import SPACE, byte_symbols
 
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
 LENGTH, ROWS = 2048, 256
 #: White space beyond ASCII splits differently around ASCII white space: such texts are encoded whole.
-_ODD = re.compile("[\x85\xa0  -     　]")
+_ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CHUNK = re.compile(rb" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]")
 CACHE = 200_000
 
 
+#: Fixed value of the public tokenizer: how it splits texts.
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+
+
 class ByteCoder:
-    """The tokenizers library, asked once for each distinct stretch that it never merges across."""
+    """The tokenizers library, asked once for each distinct stretch that it never merges across.
+
+    Its pre-tokenizer never joins what lies on both sides of a space that follows a letter or sign, so
+    texts are cut there, and each stretch is split by the tokenizer's pattern and its parts are given to its model.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,37 +51,30 @@ class ByteCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model, self.pattern = self.tokenizer.model, regex.compile(PATTERN)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kept: dict[bytes, bytes] = {}
+        self.symbol = dict(enumerate(byte_symbols()))
+        self.kept = C.Kept(self._chunk, CACHE)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _chunk(self, chunk: bytes) -> bytes:
+        parts = self.pattern.findall(chunk.decode())
+        if len(parts) > 1:
+            return b"".join([self.kept[x.encode()] for x in parts])
+        return array("H" if self.dtype.itemsize == 2 else "I", [t.id for t in self.model.tokenize(chunk.decode("latin-1").translate(self.symbol))]).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        chunks, fresh = {}, {}
-        for i, raw in enumerate(texts):
+        out = []
+        for raw in texts:
             if not raw.isascii() and _ODD.search(text := raw.decode()):
-                out[i] = self._ask([text])[0]
-            elif any(s.encode() in raw for s in self.special):
-                out[i] = self._ask([raw.decode()])[0]
+                out.append(self._whole(text))
+            elif any(s in raw for s in self.special):
+                out.append(self._whole(raw.decode()))
             else:
-                chunks[i] = _CHUNK.findall(raw)
-        kept = self.kept
-        for c in chunks.values():
-            for x in c:
-                if x not in kept:
-                    fresh[x] = None
-        names = list(fresh)
-        for lo in range(0, len(names), 5000):
-            part = names[lo : lo + 5000]
-            fresh.update(zip(part, self._ask([x.decode() for x in part]), strict=True))
-        for i, c in chunks.items():
-            out[i] = b"".join([kept[x] if x in kept else fresh[x] for x in c])
-        room = CACHE - len(kept)
-        if room > 0:
-            kept.update((x, fresh[x]) for x in names[:room])
+                out.append(b"".join(map(self.kept.__getitem__, _CHUNK.findall(raw))))
         return out
 
 
@@ -132,7 +136,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = 2, length: in
     """
     docs = C.documents(docs)
     parts = C.block_count(docs, block_bytes)
-    ordered = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ordered = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def put(tables):
         from pyspark import TaskContext
