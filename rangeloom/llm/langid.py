@@ -9,9 +9,10 @@ expectation-maximisation from the forward and backward sums; the vocabulary itse
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 32  # words are cut into stretches of at most so many characters
 ROUNDS, PRIOR = 2, 0.5
+MOST_WORDS = 600_000  # that a worker keeps scores of
 
 
 def words(text: str) -> list[str]:
@@ -42,27 +44,37 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
         self.piece = {p: i for i, p in enumerate(pieces)}
-        self.longest = min(LONGEST, max(map(len, pieces)))
         self.other = len(pieces)  # any single character that is no piece
-        self.heads = {p[:i] for p in pieces for i in range(1, len(p) + 1)}
+        self.table: dict = {}  # character -> [the piece that ends here or -1, table of the longer ones]
+        for p, i in self.piece.items():
+            if len(p) <= LONGEST:
+                table, step = self.table, [-1, {}]
+                for c in p:
+                    step = table.setdefault(c, [-1, {}])
+                    table = step[1]
+                step[0] = i
 
     def lattice(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Edges of all words, in order of where they end: (word, from, to, piece)."""
-        get, heads, other, edges = self.piece.get, self.heads, self.other, []
+        """Edges of all words (a million at most), in order of where they end: (word, from, to, piece)."""
+        edges: list[int] = []
+        add, whole, other = edges.append, self.table, self.other
         for w, name in enumerate(names):
-            for a in range(len(name)):
-                for b in range(a + 1, len(name) + 1):
-                    part = name[a:b]
-                    i = get(part)
-                    if i is not None:
-                        edges.append((b, w, a, i))
-                    elif b == a + 1:
-                        edges.append((b, w, a, other))
-                    if part not in heads:
+            n = len(name)
+            for a in range(n):
+                table, head = whole, w << 22 | a << 16
+                for b in range(a, n):
+                    step = table.get(name[b])
+                    if step is None:
+                        if b == a:
+                            add(b + 1 << 42 | head | other)
                         break
-        out = np.array(edges, np.int32).reshape(-1, 4)
-        out = out[np.argsort(out[:, 0], kind="stable")]
-        return out[:, 1], out[:, 2], out[:, 0], out[:, 3]
+                    piece, table = step
+                    if piece >= 0:
+                        add(b + 1 << 42 | head | piece)
+                    elif b == a:
+                        add(b + 1 << 42 | head | other)
+        code = np.sort(np.array(edges, np.int64))
+        return code >> 22 & 0xFFFFF, code >> 16 & 0x3F, code >> 42, code & 0xFFFF
 
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -104,35 +116,50 @@ def expected(edges, p: np.ndarray, names: list[str], counts: np.ndarray) -> np.n
     return np.bincount(piece, weights=use, minlength=len(p))
 
 
+class WordScores:
+    """log-probabilities of words in each language, kept from batch to batch."""
+
+    def __init__(self, model: Model):
+        self.model, self.names, self.each = model, {}, np.zeros((len(model.langs), 0))
+
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Word numbers of each text; `each` has a column for every number."""
+        if len(self.names) > MOST_WORDS:
+            self.names, self.each = {}, np.zeros((len(self.model.langs), 0))
+        names, known = self.names, len(self.names)
+        out = [np.fromiter([names.setdefault(w, len(names)) for w in words(t)] if t else [], np.int32) for t in texts]
+        fresh, v = list(islice(names, known, None)), vocabulary(self.model.path)
+        parts = [self.each]
+        for lo in range(0, len(fresh), 20_000):
+            part = fresh[lo : lo + 20_000]
+            edges, size, at = v.lattice(part), np.array([len(x) for x in part]), np.arange(len(part))
+            parts.append(np.stack([np.log(forward(edges, np.exp(log_p), len(part))[at, size] + 1e-300) for log_p in self.model.log_p]))
+        self.each = np.concatenate(parts, axis=1)
+        return out
+
+
+_scores: dict[str, WordScores] = {}
+
+
 @dataclass(frozen=True)
 class Model:
     path: str
     langs: list[str]
     log_p: np.ndarray  # (languages, pieces + 1)
+    name: str  # of this fit: what a worker has scored for one model is no use for another
 
     def scores(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The likeliest language of each text and its posterior under equal priors; UNKNOWN, 0 without letters."""
-        v = vocabulary(self.path)
-        seen: dict[str, int] = {}
-        ids, sizes, letters = [], np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
-        for i, t in enumerate(texts):
-            w = words(t) if t else []
-            letters[i] = any(c.isalpha() for x in w for c in x[1:])
-            sizes[i] = len(w)
-            ids.append(np.fromiter((seen.setdefault(x, len(seen)) for x in w), np.int32, len(w)))
-        names = list(seen)
-        each = np.zeros((len(self.langs), len(names)))
-        for lo in range(0, len(names), 20_000):
-            part = names[lo : lo + 20_000]
-            edges, size = v.lattice(part), np.array([len(x) for x in part])
-            for k, log_p in enumerate(self.log_p):
-                each[k, lo : lo + len(part)] = np.log(forward(edges, np.exp(log_p), len(part))[np.arange(len(part)), size] + 1e-300)
         best, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.langs:
             return best, score
-        for i, w in enumerate(ids):
-            if letters[i]:
-                total = each[:, w].sum(1)
+        if self.name not in _scores:
+            _scores.clear()
+            _scores[self.name] = WordScores(self)
+        own = _scores[self.name]
+        for i, w in enumerate(own.ids(texts)):
+            if len(w) and (any(c.isalpha() for c in texts[i])):
+                total = own.each[:, w].sum(1)
                 odds = np.exp(total - total.max())
                 k = int(odds.argmax())
                 best[i], score[i] = self.langs[k], odds[k] / odds.sum()
@@ -155,10 +182,10 @@ def fit(path: str, counts: dict[str, Counter]) -> Model:
             use = expected(edges, p, names, n)
         tables.append(use)
     if not langs:
-        return Model(path, [], np.zeros((0, v.other + 1)))
+        return Model(path, [], np.zeros((0, v.other + 1)), uuid.uuid4().hex)
     base = (sum(tables) + PRIOR) / (sum(t.sum() for t in tables) + PRIOR * (v.other + 1))  # what a language lacks, it takes from all
     weight = PRIOR * (v.other + 1) / 10
-    return Model(path, langs, np.stack([np.log((t + weight * base) / (t.sum() + weight)) for t in tables]))
+    return Model(path, langs, np.stack([np.log((t + weight * base) / (t.sum() + weight)) for t in tables]), uuid.uuid4().hex)
 
 
 def train(docs: DataFrame, path: str, modulus: int = 4, held: int = 2, max_learned: int = MAX_LEARNED) -> Model:
@@ -192,8 +219,8 @@ def predict(docs: DataFrame, model: Model, modulus: int = 4, held: int = 2) -> D
 
     def batch(tables):
         for t in tables:
-            for lo in range(0, t.num_rows, 2000):
-                part = t.slice(lo, 2000)
+            for lo in range(0, t.num_rows, 4000):
+                part = t.slice(lo, 4000)
                 best, score = model.scores(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "lang_pred": pa.array(best, pa.string()), "score": score})
 
