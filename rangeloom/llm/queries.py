@@ -67,5 +67,27 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+# Windows of 50 words or bytes that start in an earlier document too; bytes go as pairs of hex digits.
+_REPEATS = """, t AS (SELECT doc_id, unnest(u) AS x, generate_subscripts(u, 1) AS j FROM d),
+w AS (SELECT doc_id, i, {window} AS s FROM (SELECT {source}, unnest(range(1, len(u) - 48)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM w JOIN f USING (s) WHERE m < doc_id),
+k AS (SELECT t.*, g.j IS NOT NULL AS gone, coalesce(lag(g.j IS NOT NULL) OVER (PARTITION BY doc_id ORDER BY t.j), false) AS before FROM t LEFT JOIN g USING (doc_id, j)),
+r AS (SELECT doc_id, count(CASE WHEN gone THEN 1 END) AS n_removed, count(CASE WHEN gone AND NOT before THEN 1 END) AS n_spans, string_agg(x, '{between}' ORDER BY j) FILTER (WHERE NOT gone) AS kept FROM k GROUP BY doc_id)
+"""
+
+_OP2 = (
+    "WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), d AS (SELECT doc_id, h, regexp_extract_all(h, '..') AS u FROM h)"
+    + _REPEATS.format(window="substr(h, 2 * i - 1, 100)", between="", source="doc_id, h")
+    + "SELECT doc_id, len(u) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)"
+)
+_OP7 = (
+    r"WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS u FROM documents)"
+    + _REPEATS.format(window="array_to_string(u[i:i + 49], ' ')", between=" ", source="doc_id, u")
+    + "SELECT doc_id, len(u) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)"
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express; tests hold the others against brute force."""
+    return {"op2_suffix_dedup": _OP2, "op7_substring_dedup": _OP7}
