@@ -165,8 +165,8 @@ class PartitionManager:
             ps = [p for p in ps if p.range_id or p.kind != "mammoth"]
         maxima = None
         if own.key_type == "int":
-            data = self._read(own, state, (None, max(p.upper for p in ps))) if ps else None
-            maxima = planners.key_maxima(data, ps) if data is not None else self.spark.createDataFrame([(p.range_id, None) for p in ps[:1]], "range_id string, max_key long")
+            found = [(r, self._max_key(state, own, r)) for r in {p.range_id for p in ps}]
+            maxima = self.spark.createDataFrame(found, "range_id string, max_key long")
         rows = planners.free_partitions(layouts.frame(self.spark, ps, state.version), maxima, as_of or today()).collect()
         return {r.range_id: r.free for r in rows}
 
@@ -201,10 +201,17 @@ class PartitionManager:
         return True
 
     def _max_key(self, state: State, own: Table, range_id: str | None) -> int:
-        ps = [p for p in state.children(own.schema_name, own.table_name) if p.range_id == range_id and p.upper is not None]
-        data = self._read(own, state, (None, max(p.upper for p in ps)))
-        found = planners.key_maxima(data, ps).first().max_key if data is not None else None
-        return found or 0
+        """The greatest key below the range's last bound, 0 without rows.
+
+        Folders are read from the top down until one has such a row: usually one, however large the table.
+        """
+        ps = [p for p in state.children(own.schema_name, own.table_name) if p.upper is not None]
+        top = max((p for p in ps if p.range_id == range_id), key=lambda p: p.upper)
+        for p in sorted(self.registry.existing([p for p in ps if p.lower < top.upper]), reverse=True, key=lambda p: p.upper):
+            found = planners.key_maxima(self.spark.read.schema(self._schema(own)).parquet(p.path), [top]).first().max_key
+            if found is not None:
+                return found
+        return 0
 
     # -- constraints
 
@@ -345,7 +352,7 @@ class PartitionManager:
         return self.spark.read.parquet(own.path).schema
 
     def _read(self, own: Table, state: State, key: scans.Bounds, partitions: list[Partition] | None = None) -> DataFrame | None:
-        ps = [p for p in (partitions if partitions is not None else state.children(own.schema_name, own.table_name)) if self.registry.exists(p.path)]
+        ps = self.registry.existing(partitions if partitions is not None else state.children(own.schema_name, own.table_name))
         return scans.scan(self.spark, ps, own.key_column, self._schema(own), key) if ps else None
 
     def scan(self, schema: str, table: str, key: scans.Bounds = (None, None), where: dict[str, scans.Bounds] | None = None) -> DataFrame:
@@ -354,7 +361,7 @@ class PartitionManager:
         own = state.table(schema, table)
         if not own.strategy:
             raise NotPartitioned(f"{schema}.{table} is not partitioned")
-        ps = [p for p in state.children(schema, table) if self.registry.exists(p.path)]
+        ps = self.registry.existing(state.children(schema, table))
         return scans.scan(self.spark, ps, own.key_column, self._schema(own), key, where)
 
     def insert(self, schema: str, table: str, rows: DataFrame) -> None:
@@ -381,10 +388,8 @@ class PartitionManager:
                 raise OutOfRange(f"rows have no partition in {schema}.{table}")
             if bad is not None and not written.where(bad).isEmpty():
                 raise OutOfRange(f"rows break recorded constraints of {schema}.{table}")
-            for p in ps:
-                source = f"{draft}/{routing.PARTITION}={p.partition_name}"
-                if self.registry.exists(source):
-                    self.registry.move_files(source, p.path)
+            for p in self.registry.existing([replace(p, path=f"{draft}/{routing.PARTITION}={p.partition_name}") for p in ps]):
+                self.registry.move_files(p.path, next(x.path for x in ps if x.partition_name == p.partition_name))
         finally:
             self.registry.delete_data(draft)
 

@@ -151,6 +151,19 @@ class Registry:
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
 
+    def existing(self, partitions: list[Partition]) -> list[Partition]:
+        """Those whose folder is there: one listing for each parent folder, not a look-up a partition."""
+        listed: dict[str, set[str]] = {}
+        out = []
+        for p in partitions:
+            parent, _, name = p.path.rpartition("/")
+            if parent not in listed:
+                at = self._path(parent)
+                listed[parent] = {s.getPath().getName() for s in self._fs.listStatus(at)} if self._fs.exists(at) else set()
+            if name in listed[parent]:
+                out.append(p)
+        return out
+
     def move_files(self, source: str, target: str) -> None:
         """Renames each data file of one folder into another; file names are unique."""
         self._fs.mkdirs(self._path(target))
