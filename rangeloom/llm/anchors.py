@@ -263,14 +263,13 @@ def remove_repeats(docs: DataFrame, read: Callable[[list[bytes], np.ndarray], Sy
             l, h = lo[done : done + n], hi[done : done + n]
             counts = h - l
             pick = np.repeat(l - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-            out.append((shard, block, C.packed(C.small(counts), C.small(a[pick]), C.small(b[pick]), m[pick])))
+            out.append((shard, block, C.packed(C.small(counts), C.small(a[pick]), C.small(b[pick]), m[pick], np.unique(x[0]))))
             done += n
         return C.packets(out)
 
-    def remove(table: pa.Table, shared: pa.Table, spans: pa.Table) -> pa.Table:
-        s = symbols(table)
-        c = contexts(s, np.concatenate([a[0] for _, a in C.payloads(shared, "shard")]))
-        got = [a for _, a in C.payloads(spans, "shard")]
+    def remove(table: pa.Table, spans: pa.Table) -> pa.Table:
+        s, got = symbols(table), [a for _, a in C.payloads(spans, "shard")]
+        c = contexts(s, np.concatenate([a[4] for a in got]))
         counts = np.concatenate([a[0].astype(np.int64) for a in got])
         begin = np.cumsum(counts) - counts
         a, b, m = (np.concatenate([x[i].astype(np.int64) for x in got]) for i in (1, 2, 3))
@@ -284,14 +283,9 @@ def remove_repeats(docs: DataFrame, read: Callable[[list[bytes], np.ndarray], Sy
         np.add.at(edge, c.at[occurrence] + b[pick], -1)
         return pa.table({"doc_id": table["doc_id"].combine_chunks()} | ({"rest": table["rest"]} if others else {}) | finish(s, np.cumsum(edge, out=edge)[:-1] > 0))
 
-    def last(table: pa.Table, answers: pa.Table) -> pa.Table:
-        kinds = answers["kind"].to_numpy()
-        return remove(table, answers.filter(pa.array(kinds == 0)), answers.filter(pa.array(kinds == 1)))
-
     shared = rows.groupBy("block").applyInArrow(ask, C.PACKET_SCHEMA).groupBy("shard").applyInArrow(tell, C.PACKET_SCHEMA)
     spans = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send, C.PACKET_SCHEMA).groupBy("shard").applyInArrow(compare, C.PACKET_SCHEMA)
-    answers = shared.withColumn("kind", F.lit(0)).unionAll(spans.withColumn("kind", F.lit(1)))
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(last, schema)
+    return rows.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(remove, schema)
 
 
 def runs(removed: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
