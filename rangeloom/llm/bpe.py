@@ -16,7 +16,9 @@ left to right with a table of the last token of each prefix. Decoding puts out t
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
+from array import array
 from dataclasses import dataclass, field
 from hashlib import sha256
 
@@ -29,7 +31,7 @@ from . import common as C
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: White space of the tokenizer's patterns; Python's \s has four control characters more.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed values of the public tokenizer: its pattern for words.
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
 CACHE = 150_000
@@ -44,7 +46,9 @@ class Automaton:
     left: list[int]
     right: list[int]
     born: list[int]
-    table: dict  # symbol -> table of the longer tokens; "" -> the token that ends here
+    table: dict  # symbol -> [the token that ends here or -1, table of the longer ones]
+    shorter: list[int] = field(default_factory=list)  # the next token that a token begins with
+    sizes: list[int] = field(default_factory=list)  # symbols of a token
     arcs: dict[int, bool] = field(default_factory=dict)
 
     @classmethod
@@ -56,14 +60,23 @@ class Automaton:
             cut[u, v] = time
             if born[uv] < 0:
                 left[uv], right[uv], born[uv] = u, v, time
-        self = cls(vocab, cut, left, right, born, {})
+        self = cls(vocab, cut, left, right, born, {}, [-1] * size, [0] * size)
         for token, i in vocab.items():
             body, suffix = (token[: -len(end)], end) if end and token.endswith(end) and token != end else (token, "")
             if len(body) == 1 or self._made(i):
-                node = self.table
+                self.sizes[i] = len(body)
+                table, step = self.table, [-1, {}]
                 for symbol in [*body[:-1], body[-1] + suffix]:
-                    node = node.setdefault(symbol, {})
-                node[""] = i
+                    step = table.setdefault(symbol, [-1, {}])
+                    table = step[1]
+                step[0] = i
+        waiting = [(self.table, -1)]
+        while waiting:
+            table, above = waiting.pop()
+            for token, longer in table.values():
+                if token >= 0:
+                    self.shorter[token] = above
+                waiting.append((longer, token if token >= 0 else above))
         return self
 
     def follows(self, s: int, t: int) -> bool:
@@ -91,29 +104,80 @@ class Automaton:
     def encode(self, word: str, suffix: str = "") -> list[int]:
         """The accepted sequence of a word; `suffix` belongs to the last symbol.
 
-        The table is walked from each place where an accepted prefix ends; since places are taken in
-        order, the longest token that may end a prefix is the first to reach its end.
+        From each place the table gives all tokens that the text goes on with. The longest that the
+        last token's state has an arc for is taken; where none is left, the last one is taken back.
         """
-        symbols = [*word[:-1], word[-1:] + suffix] if word else []
-        n, table, follows = len(symbols), self.table, self.follows
-        last, size = [-1] * (n + 1), [0] * (n + 1)
-        for b in range(n):
-            before = last[b]
-            if b and before < 0:
-                continue
-            node = table
-            for e in range(b, n):
-                node = node.get(symbols[e])
-                if node is None:
+        if not word:
+            return []
+        symbols = list(word)
+        symbols[-1] += suffix
+        n, table, arcs, shorter, sizes = len(symbols), self.table, self.arcs, self.shorter, self.sizes
+        out, b, before = [], 0, -1
+        while b < n:  # as long as nothing has to be taken back
+            kids, token = table, -1
+            for s in symbols[b:] if b else symbols:
+                step = kids.get(s)
+                if step is None:
                     break
-                token = node.get("", -1)
-                if token >= 0 and last[e + 1] < 0 and (b == 0 or follows(before, token)):
-                    last[e + 1], size[e + 1] = token, e + 1 - b
-        out, e = [], n
-        while e > 0:
-            out.append(last[e])
-            e -= size[e]
-        return out[::-1]
+                ends, kids = step
+                if ends >= 0:
+                    token = ends
+            if before >= 0:
+                while token >= 0:
+                    ok = arcs.get(before << 32 | token)
+                    if ok is None:
+                        ok = self.follows(before, token)
+                    if ok:
+                        break
+                    token = shorter[token]
+            if token < 0:
+                return self._search(symbols)
+            out.append(token)
+            b += sizes[token]
+            before = token
+        return out
+
+    def _search(self, symbols: list[str]) -> list[int]:
+        n, table, arcs, out, ends, dead = len(symbols), self.table, self.arcs, [], [0], None
+        choices = [self._choices(symbols, 0, n, table)]
+        while ends[-1] < n:
+            before, open_, at = (out[-1] if out else -1), choices[-1], ends[-1]
+            while open_:
+                token, e = open_.pop()
+                if before >= 0:
+                    ok = arcs.get(before << 32 | token)
+                    if ok is None:
+                        ok = self.follows(before, token)
+                    if not ok:
+                        continue
+                if dead and (e, token) in dead:
+                    continue
+                out.append(token)
+                ends.append(e)
+                if e < n:
+                    choices.append(self._choices(symbols, e, n, table))
+                break
+            else:
+                if not out:
+                    raise ValueError(f"no token sequence for {symbols!r}")
+                dead = dead or set()
+                dead.add((at, out.pop()))
+                ends.pop()
+                choices.pop()
+        return out
+
+    @staticmethod
+    def _choices(symbols: list[str], b: int, n: int, table: dict) -> list[tuple[int, int]]:
+        """(token, end) of the tokens at a place, from the shortest to the longest."""
+        out = []
+        for e in range(b, n):
+            step = table.get(symbols[e])
+            if step is None:
+                break
+            token, table = step
+            if token >= 0:
+                out.append((token, e + 1))
+        return out
 
     def _made(self, token: int) -> bool:
         """Whether BPE makes this token from its own symbols: its two parts may not have merged otherwise."""
@@ -165,37 +229,33 @@ class WordCoder:
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
         self.word = regex.compile(WORD)
         self.symbol = dict(enumerate(byte_symbols()))
-        self.kept: dict[bytes, bytes] = {}
-        self.words: dict[str, list[int]] = {}
+        self.kept = C.Kept(self._chunk, CACHE)
+        self.words = C.Kept(self._word, CACHE)
+
+    def _word(self, w: str) -> list[int]:
+        return self.automaton.encode(w.encode().decode("latin-1").translate(self.symbol), self.suffix)
 
     def _chunk(self, chunk: bytes) -> bytes:
-        ids: list[int] = []
         text = chunk.decode()
-        for part in self.split.split(text) if "<" in text else [text]:
+        ids: list[int] = []
+        for part in self.split.split(text) if "<" in text else (text,):
             if part in self.special:
                 ids.append(self.special[part])
                 continue
             part = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for w in self.word.findall(part):
-                known = self.words.get(w)
-                if known is None:
-                    if len(self.words) >= CACHE:
-                        self.words.clear()
-                    known = self.words[w] = self.automaton.encode(w.encode().decode("latin-1").translate(self.symbol), self.suffix)
-                ids += known
-        return np.array(ids, "<u4").tobytes()
+            if part.isalpha():
+                ids += self.words[part]
+            elif part[:-1].isalpha() and part[-1] in ".,!?;:|":  # letters and one other sign: two words
+                ids += self.words[part[:-1]]
+                ids += self.words[part[-1]]
+            else:
+                for w in self.word.findall(part):
+                    ids += self.words[w]
+        return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
     def encode(self, text: bytes) -> bytes:
         """ids as little-endian unsigned 32-bit integers."""
-        kept, out = self.kept, []
-        for chunk in text.split():
-            ids = kept.get(chunk)
-            if ids is None:
-                if len(kept) >= CACHE:
-                    kept.clear()
-                ids = kept[chunk] = self._chunk(chunk)
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.kept.__getitem__, text.split()))
 
     def decode(self, ids: bytes) -> str:
         return " ".join([self.labels[i] for i in np.frombuffer(ids, "<u4").tolist()])
