@@ -27,21 +27,19 @@ from .bpe import SPACE, byte_symbols
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
 LENGTH, ROWS = 2048, 256
-#: White space beyond ASCII splits differently around ASCII white space: such texts are encoded whole.
-_ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_CHUNK = re.compile(rb" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]")
-CACHE = 200_000
+CACHE = 400_000
 
 
-#: Fixed value of the public tokenizer: how it splits texts.
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: Fixed value of the public tokenizer: how it splits texts. Alternatives that can't start alike stand in order of use.
+PATTERN = rf" ?\p{{L}}+| ?\p{{N}}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+ASCII_PATTERN = rb" ?[A-Za-z]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 
 
 class ByteCoder:
-    """The tokenizers library, asked once for each distinct stretch that it never merges across.
+    """The tokenizers library, asked once for each distinct pre-token.
 
-    Its pre-tokenizer never joins what lies on both sides of a space that follows a letter or sign, so
-    texts are cut there, and each stretch is split by the tokenizer's pattern and its parts are given to its model.
+    Texts are split by the tokenizer's pattern and the parts are given to the library's model; a text
+    with special tokens goes through the library whole.
     """
 
     def __init__(self, path: str):
@@ -51,30 +49,25 @@ class ByteCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.model, self.pattern = self.tokenizer.model, regex.compile(PATTERN)
+        self.tokenize, self.split, self.split_ascii = self.tokenizer.model.tokenize, regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.symbol = dict(enumerate(byte_symbols()))
-        self.kept = C.Kept(self._chunk, CACHE)
+        self.kept = C.Kept(self._part, CACHE)
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _chunk(self, chunk: bytes) -> bytes:
-        parts = self.pattern.findall(chunk.decode())
-        if len(parts) > 1:
-            return b"".join([self.kept[x.encode()] for x in parts])
-        return array("H" if self.dtype.itemsize == 2 else "I", [t.id for t in self.model.tokenize(chunk.decode("latin-1").translate(self.symbol))]).tobytes()
+    def _part(self, part: bytes) -> bytes:
+        return array(self.code, [t.id for t in self.tokenize(part.decode("latin-1").translate(self.symbol))]).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        out = []
-        for raw in texts:
-            if not raw.isascii() and _ODD.search(text := raw.decode()):
-                out.append(self._whole(text))
-            elif any(s in raw for s in self.special):
-                out.append(self._whole(raw.decode()))
+        out, kept = [], self.kept.__getitem__
+        for text in texts:
+            if any(s in text for s in self.special):
+                out.append(array(self.code, self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes())
+            elif text.isascii():
+                out.append(b"".join(map(kept, self.split_ascii(text))))
             else:
-                out.append(b"".join(map(self.kept.__getitem__, _CHUNK.findall(raw))))
+                out.append(b"".join(map(kept, map(str.encode, self.split(text.decode())))))
         return out
 
 
