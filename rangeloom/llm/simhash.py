@@ -5,11 +5,11 @@ r + 1 bits) keeps the bits whose label has an odd number of bits in common with
 pair differ; their labels span at most r dimensions, so some v is orthogonal to them all and its table
 sees no difference: every pair within the radius collides in some table (Pagh, 2016).
 
-Tables hold distinct fingerprints, not documents. A bucket of at most `ball` fingerprints is compared
-pair by pair. In a larger one, each fingerprint is dealt to all values within r / 2 of it, and those
-that meet at a value are linked to the least of them: any two of them differ in r bits or fewer, and any
-two that do meet somewhere. So no bucket costs more than a fixed number of rows a fingerprint, and no
-link is lost.
+Tables hold distinct fingerprints, not documents. The two of a bucket of two are compared in SQL; larger
+buckets are searched breadth-first and give one link for each fingerprint that is reached, never all
+pairs. In a bucket of more than MOST_IN_BUCKET, each fingerprint is dealt to all values within r / 2 of it,
+and those that meet at a value are linked to the least of them: any two of them differ in r bits or
+fewer, and any two that do meet somewhere. No link between components is lost either way.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from . import common as C
 from . import graph
 
 BITS = 64
+#: Fingerprints of a bucket that one task searches, and rows that are searched together.
+MOST_IN_BUCKET, GROUP_ROWS = 50_000, 200_000
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -70,21 +72,51 @@ def ball(radius: int) -> list[int]:
     return [_signed(sum(1 << i for i in c)) for n in range(radius + 1) for c in combinations(range(BITS), n)]
 
 
+def spanning(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links that join all prints (signed, distinct) whose chains of steps within the radius meet."""
+    left, out = prints.astype(np.int64).view(C.U64), []
+    while len(left):
+        frontier, left = [left[0]], left[1:]
+        while frontier and len(left):
+            at = frontier.pop()
+            near = np.bitwise_count(left ^ at) <= radius
+            if near.any():
+                found, left = left[near], left[~near]
+                out += [(int(x), int(at)) for x in found.view(np.int64)]
+                frontier += list(found)
+    return [(a, _signed(b)) for a, b in out]
+
+
 def links(prints: DataFrame, radius: int) -> DataFrame:
     """Edges (a, b) between distinct prints, enough to join all within the radius (an even number)."""
     if radius % 2:
         raise ValueError("radius has to be even")
-    near = ball(radius // 2)
     tables = [F.struct(F.lit(i).alias("t"), F.col("print").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks(radius))]
     dealt = prints.select("print", F.explode(F.array(*tables)).alias("e")).select("print", "e.t", "e.k")
-    size = dealt.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = graph.saved(dealt.join(size, ["t", "k"]))
-    few = dealt.where(F.col("n") <= len(near)).select("t", "k", "print")
-    pairs = few.withColumnRenamed("print", "a").join(few.withColumnRenamed("print", "b"), ["t", "k"]).where((F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
-    many = dealt.where(F.col("n") > len(near)).select("print").distinct()
-    met = many.select("print", F.explode(F.transform(F.lit(near), lambda m: m.bitwiseXOR(F.col("print")))).alias("z"))
-    stars = met.join(met.groupBy("z").agg(F.min("print").alias("b")), "z").where("print <> b").select(F.col("print").alias("a"), "b")
-    return pairs.unionAll(stars)
+    size = graph.saved(dealt.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("b"), F.max("print").alias("a")).where("n > 1"))
+    two = size.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
+    more = size.where("n > 2").select("t", "k", "n")
+    rows = more.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not rows:
+        return two
+    more = graph.saved(dealt.join(more, ["t", "k"]))
+    groups = max(1, rows // GROUP_ROWS)
+
+    def search(table: pa.Table) -> pa.Table:
+        t, k, p = (table[c].to_numpy() for c in ("t", "k", "print"))
+        order = np.lexsort((p, k, t))
+        t, k, p = t[order], k[order], p[order]
+        cuts = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1
+        found = {e for part in np.split(p, cuts) for e in spanning(part, radius)}
+        return pa.table({"a": pa.array([e[0] for e in found], pa.int64()), "b": pa.array([e[1] for e in found], pa.int64())})
+
+    few = more.where(F.col("n") <= MOST_IN_BUCKET).select("t", "k", "print", F.pmod(F.xxhash64("t", "k"), F.lit(groups)).alias("g"))
+    out = two.unionAll(few.groupBy("g").applyInArrow(search, "a long, b long"))
+    many = more.where(F.col("n") > MOST_IN_BUCKET).select("print").distinct()
+    if many.isEmpty():
+        return out
+    met = many.select("print", F.explode(F.transform(F.lit(ball(radius // 2)), lambda m: m.bitwiseXOR(F.col("print")))).alias("z"))
+    return out.unionAll(met.join(met.groupBy("z").agg(F.min("print").alias("b")), "z").where("print <> b").select(F.col("print").alias("a"), "b"))
 
 
 def near_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
