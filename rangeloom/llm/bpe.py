@@ -280,7 +280,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 
     def batch(tables):
         c = coder(path)
-        for t in tables:
+        for t in C.slices(tables):
             ids = [c.encode(x) for x in C.encoded(pa.chunked_array([t.column("text")]))]
             texts = [c.decode(x) for x in ids]
             out = {"doc_id": t.column("doc_id"), "n_tokens": np.array([len(x) // 4 for x in ids], np.int64), "ids_sha256": [sha256(x).hexdigest() for x in ids], "decoded_sha256": [sha256(x.encode()).hexdigest() for x in texts]}

@@ -138,6 +138,13 @@ def encoded(column: pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches in parts of at most `rows`: what is made from a part bounds a worker's memory."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def word_ids(texts: list[bytes], end: bytes | None = None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Words `[^\\x20\\x09-\\x0D]+` of all texts as ids: (ids, words a text, distinct words).
 

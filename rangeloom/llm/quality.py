@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, m
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
 
     def batch(tables):
-        for t in tables:
+        for t in C.slices(tables):
             x = features(C.encoded(pa.chunked_array([t.column("text")])))
             yield pa.record_batch({"x": pa.FixedSizeListArray.from_arrays(x.ravel(), x.shape[1]).cast(pa.list_(pa.float64())), "y": t.column("quality")})
 
@@ -131,7 +131,7 @@ def classify(docs: DataFrame, trees: Trees, modulus: int = 3, held: int = 1) ->
     rows = C.documents(docs).withColumn("held_out", C.remainder_is("doc_id", modulus, held))
 
     def batch(tables):
-        for t in tables:
+        for t in C.slices(tables):
             score = trees.score(features(C.encoded(pa.chunked_array([t.column("text")]))))
             yield pa.record_batch({"doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "score": score, "predicted": (score >= 0.5).astype(np.int32)})
 
@@ -143,7 +143,7 @@ def keep_good(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFram
     C.ship(docs.sparkSession)
 
     def batch(tables):
-        for t in tables:
+        for t in C.slices(tables):
             yield t.filter(pa.array(trees.score(features(C.encoded(pa.chunked_array([t.column(text_col)])))) >= 0.5))
 
     return docs.mapInArrow(batch, docs.schema)

@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, print): print is the fingerprint as a signed long."""
 
     def batch(tables):
-        for t in tables:
+        for t in C.slices(tables):
             found = np.array([fingerprint(x, words) for x in C.encoded(pa.chunked_array([t.column("text")]))], dtype=C.U64)
             yield pa.record_batch({"doc_id": t.column("doc_id"), "print": pa.array(found.view(np.int64))})
 
