@@ -35,6 +35,7 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed values of the public tokenizer: its pattern for words.
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
 CACHE = 150_000
+MOST_ARCS = 400_000
 
 
 @dataclass
@@ -85,8 +86,9 @@ class Automaton:
         known = self.arcs.get(key)
         if known is None:
             known = self._follows(s, t)
-            if len(self.arcs) < 2_000_000:
-                self.arcs[key] = known
+            if len(self.arcs) >= MOST_ARCS:
+                self.arcs.clear()
+            self.arcs[key] = known
         return known
 
     def _follows(self, s: int, t: int) -> bool:
@@ -213,6 +215,11 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def _ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+
+
 class WordCoder:
     """Encodes and decodes whole texts; words between white space are kept once encoded."""
 
@@ -232,26 +239,24 @@ class WordCoder:
         self.kept = C.Kept(self._chunk, CACHE)
         self.words = C.Kept(self._word, CACHE)
 
-    def _word(self, w: str) -> list[int]:
-        return self.automaton.encode(w.encode().decode("latin-1").translate(self.symbol), self.suffix)
+    def _word(self, w: str) -> bytes:
+        return _ids(self.automaton.encode(w.encode().decode("latin-1").translate(self.symbol), self.suffix))
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        ids: list[int] = []
+        out: list[bytes] = []
         for part in self.split.split(text) if "<" in text else (text,):
             if part in self.special:
-                ids.append(self.special[part])
+                out.append(_ids([self.special[part]]))
                 continue
             part = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             if part.isalpha():
-                ids += self.words[part]
+                out.append(self.words[part])
             elif part[:-1].isalpha() and part[-1] in ".,!?;:|":  # letters and one other sign: two words
-                ids += self.words[part[:-1]]
-                ids += self.words[part[-1]]
+                out += (self.words[part[:-1]], self.words[part[-1]])
             else:
-                for w in self.word.findall(part):
-                    ids += self.words[w]
-        return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+                out += [self.words[w] for w in self.word.findall(part)]
+        return b"".join(out)
 
     def encode(self, text: bytes) -> bytes:
         """ids as little-endian unsigned 32-bit integers."""
