@@ -23,8 +23,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies: SimHash prints of 3-word shingles within 4 bits."""
-    return simhash.keep_first(docs, words=3, radius=4)
+    """The first document of each group of near copies: 5-word shingles with Jaccard similarity 0.8 or more."""
+    return simhash.keep_first(docs, words=5, radius=4)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

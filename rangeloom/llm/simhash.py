@@ -10,6 +10,10 @@ buckets are searched breadth-first and give one link for each fingerprint that i
 pairs. In a bucket of more than MOST_IN_BUCKET, each fingerprint is dealt to all values within r / 2 of it,
 and those that meet at a value are linked to the least of them: any two of them differ in r bits or
 fewer, and any two that do meet somewhere. No link between components is lost either way.
+
+The pipeline's stage wants all near copies by the Jaccard similarity of their shingles, of which prints
+within a few bits find a part. It takes masked prints and bands of least hashes (MinHash) as keys of
+candidates, and sets of shingles decide.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -28,21 +32,35 @@ from . import graph
 BITS = 64
 #: Fingerprints of a bucket that one task searches, and rows that are searched together.
 MOST_IN_BUCKET, GROUP_ROWS = 50_000, 200_000
+#: Bands of least shingle hashes, and hashes a band: at similarity 0.8 one pair in 17,000 shares none.
+BANDS, BAND_ROWS = 32, 6
+ODD = C.mixed(np.arange(1, BANDS * BAND_ROWS + 1, dtype=C.U64)) | C.U64(1)
+#: Shingle hashes of a candidate group that one task holds.
+MOST_HASHES = 2_000_000
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """A bit is set if it is in over half of the hashes of the text's word shingles, repeats included."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Hashes of the text's word shingles, repeats included; of all its words, if there are no more."""
     w = text.lower().split()
     if not w:
-        return 0
+        return np.empty(0, C.U64)
     joined = b" ".join(w)
     if len(w) <= words:
-        return xxh64_intdigest(joined, 42)
+        return np.array([xxh64_intdigest(joined, 42)], C.U64)
     cut = np.cumsum([0, *map(len, w)]) + np.arange(len(w) + 1)
     shingles = [joined[a:b] for a, b in zip(cut[:-words].tolist(), (cut[words:] - 1).tolist(), strict=True)]
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), C.U64, len(shingles))
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), C.U64, len(shingles))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set if it is in over half of the hashes."""
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(shingles)).view(C.U64)[0])
+    return int(np.packbits(2 * ones > len(hashes)).view(C.U64)[0])
+
+
+def fingerprint(text: bytes, words: int) -> int:
+    """A bit is set if it is in over half of the hashes of the text's word shingles, repeats included."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -133,10 +151,111 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     return prints.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = 3, radius: int = 4) -> DataFrame:
+def _keys(hashes: np.ndarray, distinct: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A key for each table of the masked print and each band of least hashes: what near copies have in common."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(C.U64).max, C.U64)
+    for lo in range(0, len(distinct), 256):
+        least = np.minimum(least, (distinct[lo : lo + 256, None] * ODD).min(0))
+    band = np.zeros(BANDS, C.U64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        band = C.mixed(band ^ column)
+    keys = np.concatenate((C.mixed(at & C.U64(majority(hashes))), band))
+    return C.mixed(keys + ODD[: len(keys)]).view(np.int64)
+
+
+def _node(distinct: np.ndarray) -> int:
+    """A set of shingles as one signed value."""
+    return _signed(xxh64_intdigest(distinct.tobytes(), 7))
+
+
+def sketches(docs: DataFrame, words: int, radius: int) -> DataFrame:
+    """(doc_id, node, n, keys): a text's set of shingles, how many they are, and its keys."""
+    at = np.array(masks(radius), np.int64).view(C.U64)
+
+    def batch(tables):
+        for t in C.slices(tables):
+            rows = []
+            for x in C.encoded(pa.chunked_array([t.column("text")])):
+                hashes = shingle_hashes(x, words)
+                distinct = np.unique(hashes)
+                rows.append((_node(distinct), len(distinct), _keys(hashes, distinct, at) if len(distinct) else []))
+            yield pa.record_batch({"doc_id": t.column("doc_id"), "node": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.list_(pa.int64()))})
+
+    return C.documents(docs).mapInArrow(batch, "doc_id long, node long, n long, keys array<long>")
+
+
+def alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between places of `sets` (distinct hashes each) that join all with a Jaccard similarity of 0.8 or more."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    owner, values = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    new = np.diff(values[order], prepend=~values[order[:1]]) != 0
+    run, owners = np.empty(len(values), np.int64), owner[order]
+    run[order] = np.cumsum(new) - 1
+    edges, first = np.append(np.flatnonzero(new), len(values)), np.append(0, np.cumsum(sizes))
+    left, out = np.ones(len(sets), bool), []
+    for start in range(len(sets)):
+        if not left[start]:
+            continue
+        frontier, left[start] = [start], False
+        while frontier and left.any():
+            at = frontier.pop()
+            own = run[first[at] : first[at + 1]]
+            lo, count = edges[own], edges[own + 1] - edges[own]
+            places = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+            common = np.bincount(owners[places], minlength=len(sets))
+            near = np.flatnonzero(left & (5 * common >= 4 * (sizes[at] + sizes - common)))
+            left[near] = False
+            out += [(int(x), at) for x in near]
+            frontier += near.tolist()
+    return out
+
+
+def confirmed(docs: DataFrame, groups: DataFrame, words: int) -> DataFrame:
+    """Edges (a, b) between nodes of one group of groups(doc_id, node, n, root) that are near copies indeed.
+
+    A group's texts meet in one task. One of more than MOST_HASHES shingles is cut into parts, and each two
+    parts meet, so no pair is left out and no task holds more than two parts.
+    """
+    parts = groups.groupBy("root").agg(F.ceil(F.sum("n") / MOST_HASHES).cast("int").alias("parts"), F.sum("n").alias("all"))
+    total = parts.where("parts = 1").agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
+    own, other = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
+    meets = F.transform(other, lambda o: F.struct(F.col("root").alias("g"), F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
+    single = F.array(F.struct(F.pmod(F.xxhash64("root"), F.lit(1 + int(total) // MOST_HASHES)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
+    where = groups.join(parts, "root").select("doc_id", "node", "root", F.explode(F.when(F.col("parts") == 1, single).otherwise(meets)).alias("e")).select("doc_id", "node", "root", "e.*")
+
+    def search(table: pa.Table) -> pa.Table:
+        texts, found, of = table["text"], [], {}
+        for i, (root, node) in enumerate(zip(table["root"].to_pylist(), table["node"].to_pylist())):
+            of.setdefault(root, []).append((node, i))
+        for members in of.values():
+            sets = {}
+            for node, i in members:
+                distinct = np.unique(shingle_hashes((texts[i].as_py() or "").encode(), words))
+                if _node(distinct) == node:
+                    sets[node] = distinct
+            nodes = list(sets)
+            if len(nodes) > 1:
+                found += [(nodes[a], nodes[b]) for a, b in alike(list(sets.values()))]
+        return pa.table({"a": pa.array([e[0] for e in found], pa.int64()), "b": pa.array([e[1] for e in found], pa.int64())})
+
+    return C.documents(docs).join(where, "doc_id").groupBy("g", "i", "j").applyInArrow(search, "a long, b long")
+
+
+def keep_first(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
     """The document with the least doc_id of each group, with all its columns; one row of a repeated id.
 
+    Documents are linked if the Jaccard similarity of their sets of word shingles is 0.8 or more. Those that
+    share a masked print or a band of least hashes are candidates; each link is confirmed by the sets.
     Rows without a doc_id can't stand for a group: they stay as they are.
     """
-    kept = near_groups(docs.where(docs["doc_id"].isNotNull()), words, radius).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where(docs["doc_id"].isNotNull())
+    distinct = graph.saved(sketches(named, words, radius).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    dealt = distinct.select("node", F.explode("keys").alias("k"))
+    met = dealt.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy("k")).alias("b")).where("a <> b")
+    candidates = graph.components(met)
+    groups = graph.saved(distinct.drop("keys").join(candidates, distinct["node"] == candidates["node"]).select("doc_id", distinct["node"], "n", "root"))
+    roots = graph.components(confirmed(named, groups, words))
+    joined = distinct.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    kept = joined.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionAll(docs.where(docs["doc_id"].isNull()))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline as pipeline
 from rangeloom.llm import decontam, graph, minhash, simhash
 
 
@@ -76,6 +77,47 @@ def test_keep_first(docs):
     assert 0 in ids and not any(100 <= i < 112 for i in ids if i is not None) and ids.count(5) == 1 and ids.count(None) == 2
 
 
+def sets(text, k=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def edited(r, words, share):
+    """Near copies of one text at all distances."""
+    w = list(words)
+    for _ in range(int(share * len(w))):
+        k = int(r.integers(0, len(w)))
+        w[k : k + 1] = [[f"x{r.integers(10**6)}"], [], [w[k], f"x{r.integers(10**6)}"]][int(r.integers(0, 3))]
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("most", [2_000_000, 400])
+def test_keep_first_of_all_near_copies(spark, monkeypatch, most):
+    """As by brute-force Jaccard of five-word shingles, in groups that one task holds and in ones cut into parts."""
+    monkeypatch.setattr(simhash, "MOST_HASHES", most)
+    r = np.random.default_rng(8)
+    texts = []
+    for i in range(40):
+        base = [f"w{r.integers(3000)}" for _ in range(int(r.integers(3, 300)))]
+        texts += [" ".join(base)] + [edited(r, base, float(r.random()) * 0.05) for _ in range(int(r.integers(1, 9)))]
+    texts += ["", " ", texts[0].upper(), "one", "one"]
+    order = r.permutation(len(texts))
+    rows = [(int(i), texts[k]) for i, k in enumerate(order)]
+    of, root = [sets(t) for _, t in rows], list(range(len(rows)))
+    for a, b in combinations(range(len(rows)), 2):
+        if jaccard(of[a], of[b]) >= 0.8 and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = [low if x == high else x for x in root]
+    near = sum(0.8 <= jaccard(of[a], of[b]) < 0.85 for a, b in combinations(range(len(rows)), 2))
+    assert near > 20
+    kept = pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(x.doc_id for x in kept) == sorted(set(root))
+
+
 def test_fingerprints(docs, rows, empty, monkeypatch):
     monkeypatch.setattr(minhash, "BUCKET_BYTES", 20_000)
     got = sorted([tuple(r) for r in minhash.fingerprints(docs).collect()], key=str)
