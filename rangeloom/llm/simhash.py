@@ -169,7 +169,7 @@ def _node(distinct: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, words: int, radius: int) -> DataFrame:
-    """(doc_id, node, n, keys): a text's set of shingles, how many they are, and its keys."""
+    """(doc_id, row, node, n, keys): the text's hash, its set of shingles, how many they are, and their keys."""
     at = np.array(masks(radius), np.int64).view(C.U64)
 
     def batch(tables):
@@ -179,9 +179,9 @@ def sketches(docs: DataFrame, words: int, radius: int) -> DataFrame:
                 hashes = shingle_hashes(x, words)
                 distinct = np.unique(hashes)
                 rows.append((_node(distinct), len(distinct), _keys(hashes, distinct, at) if len(distinct) else []))
-            yield pa.record_batch({"doc_id": t.column("doc_id"), "node": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.list_(pa.int64()))})
+            yield pa.record_batch({"doc_id": t.column("doc_id"), "row": t.column("row"), "node": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.list_(pa.int64()))})
 
-    return C.documents(docs).mapInArrow(batch, "doc_id long, node long, n long, keys array<long>")
+    return C.documents(docs).withColumn("row", F.xxhash64("text")).mapInArrow(batch, "doc_id long, row long, node long, n long, keys array<long>")
 
 
 def alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -243,19 +243,21 @@ def confirmed(docs: DataFrame, groups: DataFrame, words: int) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """The document with the least doc_id of each group, with all its columns; one row of a repeated id.
+    """The document with the least doc_id (then the least hash of its text) of each group, with all its columns.
 
     Documents are linked if the Jaccard similarity of their sets of word shingles is 0.8 or more. Those that
     share a masked print or a band of least hashes are candidates; each link is confirmed by the sets.
-    Rows without a doc_id can't stand for a group: they stay as they are.
+    Of rows that stand for groups and share a doc_id, the one with the least hash stays; of equal texts, the
+    least row. Rows without a doc_id can't stand for a group: they stay as they are.
     """
     named = docs.where(docs["doc_id"].isNotNull())
-    distinct = graph.saved(sketches(named, words, radius).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    distinct = graph.saved(sketches(named, words, radius).groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     dealt = distinct.select("node", F.explode("keys").alias("k"))
     met = dealt.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy("k")).alias("b")).where("a <> b")
     candidates = graph.components(met)
-    groups = graph.saved(distinct.drop("keys").join(candidates, distinct["node"] == candidates["node"]).select("doc_id", distinct["node"], "n", "root"))
+    groups = graph.saved(distinct.drop("keys").join(candidates, distinct["node"] == candidates["node"]).select("least.doc_id", distinct["node"], "n", "root"))
     roots = graph.components(confirmed(named, groups, words))
-    joined = distinct.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    kept = joined.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionAll(docs.where(docs["doc_id"].isNull()))
+    joined = distinct.select("least", "node").join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    kept = joined.groupBy("root").agg(F.min("least").alias("least")).select("least.*").groupBy("doc_id").agg(F.min("row").alias("row"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("all"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("row"))
+    return rows.join(kept, ["doc_id", "row"], "left_semi").groupBy("doc_id").agg(F.min("all").alias("all")).select("all.*").unionAll(docs.where(docs["doc_id"].isNull()))

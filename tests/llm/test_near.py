@@ -118,6 +118,17 @@ def test_keep_first_of_all_near_copies(spark, monkeypatch, most):
     assert sorted(x.doc_id for x in kept) == sorted(set(root))
 
 
+def test_keep_first_of_a_repeated_id(spark):
+    """A near copy under an id doesn't take a clean text of that id with it, however the rows come."""
+    r = np.random.default_rng(9)
+    text = lambda: " ".join(f"w{x}" for x in r.integers(0, 3000, 60))
+    first, clean = text(), text()
+    rows = [(3, first, "a"), (5, first, "b"), (5, clean, "d"), (5, clean, "c")]
+    for order in (rows, rows[::-1]):
+        kept = simhash.keep_first(spark.createDataFrame(order, "doc_id long, text string, lang string").coalesce(1)).collect()
+        assert sorted(map(tuple, kept)) == [(3, first, "a"), (5, clean, "c")]
+
+
 def test_fingerprints(docs, rows, empty, monkeypatch):
     monkeypatch.setattr(minhash, "BUCKET_BYTES", 20_000)
     got = sorted([tuple(r) for r in minhash.fingerprints(docs).collect()], key=str)
