@@ -1,17 +1,17 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring, with the scores of a weighted backoff automaton in closed form.
 
-States are the histories seen in training, from the empty one up to order - 1 tokens. A state has
+The automaton's states would be the histories seen in training, from the empty one up to order - 1 tokens. A state has
 an arc for each continuation seen after it and one failure arc to the state of its longest proper
 suffix. Weights come from Dirichlet-smoothed n-grams, which sum to one in every state:
 
     p(w)     = (c(w) + 1) / (N + V + 1)
     p(w | h) = (c(hw) + k * p(w | h')) / (c(h) + k)
 
-so an arc weighs log10 p(w | h), and a failure arc log10 k / (c(h) + k). One traversal from left
-to right carries the state (the longest seen suffix) and adds the weights on its way.
+so an arc weighs log10 p(w | h), and a failure arc log10 k / (c(h) + k). Nothing is
+carried from left to right: p is worked out for all positions at once from the counts of their n-grams.
 
-The automaton of a corpus has no size bound, so it is never broadcast. It stays cut by n-gram hash
-over the shards, and a block of documents gets the states and arcs that its own texts can reach.
+The counts of a corpus have no size bound, so they are never broadcast. They stay cut by n-gram hash
+over the shards, and a block of documents gets the counts of the n-grams in its own texts.
 N-grams are identified by 64-bit hashes: at a billion distinct ones, less than one in ten billion
 shares its hash with another.
 """
@@ -56,7 +56,7 @@ class Ngrams:
 
 
 def traverse(sizes: np.ndarray, counts: list[np.ndarray], tokens: int, types: int, starts: int, strength: float) -> np.ndarray:
-    """log10 probability of each token on the automaton's one left-to-right traversal.
+    """log10 probability of each token, for all positions at once.
 
     counts[n - 1] has the training count of the n-gram ending at each token (0: no such arc).
     """
