@@ -7,11 +7,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..types import PartitionError, fold
+from ..types import LONGEST, Names, PartitionError, fold, named
 
-#: The index methods that are known, and the longest identifier.
+#: The index methods that are known.
 METHODS = ("btree", "hash", "gist", "spgist", "gin", "brin")
-LONGEST = 63
 
 
 def bare(column: str) -> str:
@@ -31,7 +30,7 @@ def _children(registry: DataFrame, schema: str, table: str) -> DataFrame:
 
 def _with_parents(children: DataFrame, table: str, parent: bool, template: bool) -> DataFrame:
     spark: SparkSession = children.sparkSession
-    more = [(2, table)] * parent + [(3, f"{table}_template")] * template
+    more = [(2, table)] * parent + [(3, named(table, "template"))] * template
     return children.unionAll(spark.createDataFrame(more, "ord int, table_name string")) if more else children
 
 
@@ -46,15 +45,10 @@ def index_statements(registry: DataFrame, taken: DataFrame, schema: str, table:
         raise PartitionError(f"index method {method} is not supported")
     names = [bare(c).lower() for c in columns]
     work = _with_parents(_children(registry, schema, table), table, not unique or (key_column or "").lower() in names, template)
-    stem = F.substring(F.concat(F.lower("table_name"), F.lit("_" + "_".join(names))), 1, LONGEST - 4)
-    work = work.withColumn("stem", stem)
-    # numbers already in use for each stem: 0 for the plain name
-    used = taken.select(F.lower("index_name").alias("name"))
-    free = F.explode(F.sequence(F.lit(0), F.lit(99))).alias("n")
-    name = F.when(F.col("n") == 0, F.concat("stem", F.lit("_idx"))).otherwise(F.concat(F.expr(f"substring(stem, 1, {LONGEST - 4} - length(cast(n as string)))"), F.col("n").cast("string"), F.lit("_idx")))
-    numbered = work.select("stem").distinct().select("stem", free).withColumn("name", name).join(used, "name", "left_anti")
-    numbered = numbered.withColumn("nth", F.row_number().over(Window.partitionBy("stem").orderBy("n")))
-    work = work.withColumn("nth", F.row_number().over(Window.partitionBy("stem").orderBy("ord", "table_name"))).join(numbered, ["stem", "nth"])
+    names_of = Names(r.name for r in taken.select(F.lower("index_name").alias("name")).collect())
+    rows = sorted(tuple(r) for r in work.select("ord", "table_name").collect())  # as many as the registry has partitions
+    numbered = [(o, t, names_of.unused(f"{t.lower()}_{'_'.join(names)}"[: LONGEST - 4])) for o, t in rows]
+    work = registry.sparkSession.createDataFrame(numbered, "ord int, table_name string, name string")
     position, total = F.row_number().over(Window.orderBy("ord", "name")), F.count(F.lit(1)).over(Window.partitionBy())
     kind, body = ("unique index " if unique else "index "), ", ".join(c.lower() for c in columns)
     statement = F.concat(F.lit("/* Creating index "), position.cast("string"), F.lit(" of "), total.cast("string"), F.lit(f" */ create {kind}"), F.when(F.col("ord") == 1, "concurrently ").otherwise(""), "name", F.lit(f" on {quoted(schema)}."), "table_name", F.lit(f" using {method} ({body});"))
@@ -75,5 +69,5 @@ def foreign_key_statements(registry: DataFrame, schema: str, table: str, constra
     alter = F.concat(F.lit(f"alter table {quoted(schema)}."), F.col("table_name"))
     added = children.select(F.lit(1).alias("block"), n.alias("position"), F.concat(alter, F.lit(f"{adding} not valid;")).alias("stmt"))
     validated = children.select(F.lit(2).alias("block"), n.alias("position"), F.concat(F.lit("/* Validating constraint "), n.cast("string"), F.lit(" of "), total.cast("string"), F.lit(" */ "), alter, F.lit(f" validate constraint {quoted(constraint)};")).alias("stmt"))
-    whole = [(3, 1, f"alter table {quoted(schema)}.{quoted(table)}{adding};")] + [(4, 1, f"alter table {quoted(schema)}.{table}_template{adding};")] * template
+    whole = [(3, 1, f"alter table {quoted(schema)}.{quoted(table)}{adding};")] + [(4, 1, f"alter table {quoted(schema)}.{named(table, 'template')}{adding};")] * template
     return added.unionAll(validated).unionAll(registry.sparkSession.createDataFrame(whole, "block int, position int, stmt string")).orderBy("block", "position")

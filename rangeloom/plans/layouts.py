@@ -8,7 +8,7 @@ from datetime import datetime, time, timedelta
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.intervals import Interval, age, plus
-from ..types import REGISTRY_SCHEMA, KeyType, Partition, PartitionError, fold, replace, suffix
+from ..types import REGISTRY_SCHEMA, KeyType, Partition, PartitionError, fold, named, replace, suffix
 
 _MIDNIGHT = time(0)
 
@@ -32,8 +32,8 @@ def plan_native(schema: str, table: str, column: str, key: KeyType, start, end,
     if not lower < upper < top:
         raise PartitionError(f"bounds {start}, {end} and step {step} don't ascend")
     own = {"schema_name": schema, "parent_name": table, "key_column": column, "key_type": key.value}
-    name = f"{table}_{suffix(key, upper, top)}"
-    return [Partition(partition_name=f"{table}_mammoth", lower=lower, upper=upper, path=path, kind="mammoth", **own), Partition(partition_name=name, lower=upper, upper=top, path=f"{folder}/{name}", **own)]
+    name = named(table, suffix(key, upper, top))
+    return [Partition(partition_name=named(table, "mammoth"), lower=lower, upper=upper, path=path, kind="mammoth", **own), Partition(partition_name=name, lower=upper, upper=top, path=f"{folder}/{name}", **own)]
 
 
 def plan_inheritance(schema: str, table: str, column: str, key: KeyType, start, end, step: str, path: str = "", folder: str = "") -> list[Partition]:
@@ -55,11 +55,11 @@ def plan_inheritance(schema: str, table: str, column: str, key: KeyType, start,
     if not lower <= last < first <= new_last:
         raise PartitionError(f"bounds {start}, {end} and step {step} don't ascend")
     own = {"schema_name": schema, "parent_name": table, "key_column": column, "key_type": key.value, "strategy": "inheritance"}
-    name = f"{table}_{suffix(key, first, new_last)}"
+    name = named(table, suffix(key, first, new_last))
     return [
-        Partition(partition_name=f"{table}_mammoth", lower=lower, upper=last + key.step, path=path, kind="mammoth", **own),
+        Partition(partition_name=named(table, "mammoth"), lower=lower, upper=last + key.step, path=path, kind="mammoth", **own),
         Partition(partition_name=name, lower=first, upper=new_last + key.step, path=f"{folder}/{name}", **own),
-        Partition(partition_name=f"{table}_overflow", lower=None, upper=None, path=f"{folder}/{table}_overflow", kind="overflow", **own),
+        Partition(partition_name=named(table, "overflow"), lower=None, upper=None, path=f"{folder}/{named(table, 'overflow')}", kind="overflow", **own),
     ]
 
 
@@ -79,12 +79,12 @@ def successor(last: Partition) -> tuple:
 
 
 def plan_growth(last: Partition, free: int, wanted: int, is_free, folder: str = "") -> list[Partition]:
-    """New partitions after `last` until `wanted` are free; is_free tells which new ones count."""
+    """New partitions after `last` until `wanted` are free, with its options; is_free tells which new ones count."""
     out = []
     while free < wanted:
         lower, upper = successor(last)
-        name = "_".join(x for x in (last.parent_name, last.range_id, suffix(last.type, lower, upper)) if x)
-        last = replace(last, partition_name=name, lower=lower, upper=upper, path=f"{folder}/{name}", kind="regular", constraints=())
+        name = named(last.parent_name, last.range_id, suffix(last.type, lower, upper))
+        last = replace(last, partition_name=name, lower=lower, upper=upper, path=f"{folder}/{name}", kind="regular", constraints=(), loads=())  # options go on
         out.append(last)
         free += bool(is_free(lower))
     return out

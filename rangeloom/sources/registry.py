@@ -1,8 +1,9 @@
-"""The registry on storage: one small Parquet folder a version, published by an atomic rename.
+"""The registry on storage: one JSON object a version, published by a rename that never overwrites.
 
-State is a handful of records for each partition, so the driver holds it; data is never read for it.
-Writers read a version, work out the next and publish it. The rename fails if that version is there
-already, and the writer starts again from it.
+State is a handful of records for each partition, so the driver holds it, and reads and writes it without
+a Spark job; data is never read for it. Writers read a version, work out the next and publish it. The
+rename fails if that version is there already, and the writer starts again from it. Rows become visible
+the same way: an insert writes a folder that no version names, and a version then names it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..types import Conflict, ForeignKey, Index, NotPartitioned, Partition, PartitionError, Table, fold
+from ..types import Conflict, ForeignKey, Index, NotPartitioned, Partition, PartitionError, Table, fold, replace
 
 JOURNAL_SCHEMA = "schema_name string, parent_name string, partition_name string, range array<string>, detached_date date"
 CONFIGURATION_SCHEMA = "schema_name string, table_name string, configuration string"
@@ -31,6 +32,7 @@ class State:
     foreign_keys: list[ForeignKey] = field(default_factory=list)
     configuration: dict[tuple[str, str], dict] = field(default_factory=dict)
     journal: list[dict] = field(default_factory=list)
+    streams: dict[str, int] = field(default_factory=dict)  # the last batch that each stream has published
 
     def table(self, schema: str, name: str) -> Table:
         for t in self.tables:
@@ -55,7 +57,7 @@ class State:
         self.partitions = [p if (x.schema_name, x.partition_name) == (p.schema_name, p.partition_name) else x for x in self.partitions]
 
 
-_KINDS = {"table": Table, "index": Index, "foreign_key": ForeignKey}
+_KINDS = {"tables": Table, "indexes": Index, "foreign_keys": ForeignKey}
 
 
 def _plain(x):
@@ -72,50 +74,54 @@ class Registry:
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), spark._jsc.hadoopConfiguration())
 
-    def _folder(self, version: int) -> str:
-        return f"{self.root}/registry/v={version:09d}"
+    def _file(self, version: int) -> str:
+        return f"{self.root}/registry/v={version:09d}.json"
 
     def versions(self) -> list[int]:
         at = self._path(f"{self.root}/registry")
         if not self._fs.exists(at):
             return []
-        return sorted(int(n[2:]) for s in self._fs.listStatus(at) if (n := s.getPath().getName()).startswith("v="))
+        return sorted(int(n[2:-5]) for s in self._fs.listStatus(at) if (n := s.getPath().getName()).startswith("v=") and n.endswith(".json"))
 
     def load(self) -> State:
         versions = self.versions()
         if not versions:
             return State()
         state = State(version=versions[-1])
-        for r in self.spark.read.parquet(self._folder(versions[-1])).collect():
-            body = json.loads(r.body)
-            if r.kind == "partition":
-                for k in ("lower_ts", "upper_ts"):
-                    body[k] = body[k] and datetime.fromisoformat(body[k])
-                body["detached_date"] = body["detached_date"] and date.fromisoformat(body["detached_date"])
-                state.partitions.append(Partition.from_row(body))
-            elif r.kind == "configuration":
-                state.configuration[body["schema_name"], body["table_name"]] = body["configuration"]
-            elif r.kind == "journal":
-                state.journal.append(body | {"detached_date": date.fromisoformat(body["detached_date"])})
-            else:
-                own = _KINDS[r.kind](**{k: tuple(v) if isinstance(v, list) else v for k, v in body.items()})
-                {"table": state.tables, "index": state.indexes, "foreign_key": state.foreign_keys}[r.kind].append(own)
+        found = self._fs.open(self._path(self._file(versions[-1])))
+        try:
+            saved = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(found, "UTF-8"))
+        finally:
+            found.close()
+        for body in saved["partitions"]:
+            for k in ("lower_ts", "upper_ts"):
+                body[k] = body[k] and datetime.fromisoformat(body[k])
+            body["detached_date"] = body["detached_date"] and date.fromisoformat(body["detached_date"])
+            state.partitions.append(Partition.from_row(body))
+        state.configuration = {(c["schema_name"], c["table_name"]): c["configuration"] for c in saved["configuration"]}
+        state.journal = [j | {"detached_date": date.fromisoformat(j["detached_date"])} for j in saved["journal"]]
+        state.streams = saved["streams"]
+        for name, kind in _KINDS.items():
+            setattr(state, name, [kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in body.items()}) for body in saved[name]])
         return state
 
     def commit(self, state: State) -> int:
         """Publishes state as the version after the one it was loaded as."""
-        rows = [("table", asdict(t)) for t in state.tables] + [("index", asdict(i)) for i in state.indexes] + [("foreign_key", asdict(f)) for f in state.foreign_keys]
-        rows += [("partition", p.row(state.version + 1)) for p in state.partitions] + [("journal", j) for j in state.journal]
-        rows += [("configuration", {"schema_name": s, "table_name": t, "configuration": c}) for (s, t), c in state.configuration.items()]
-        new, draft = state.version + 1, f"{self.root}/drafts/{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(k, json.dumps(b, default=_plain)) for k, b in rows], "kind string, body string").coalesce(1).write.parquet(draft)
+        new, draft = state.version + 1, f"{self.root}/drafts/{uuid.uuid4().hex}.json"
+        body = {name: [asdict(x) for x in getattr(state, name)] for name in _KINDS} | {"partitions": [p.row(new) for p in state.partitions], "journal": state.journal, "streams": state.streams}
+        body["configuration"] = [{"schema_name": s, "table_name": t, "configuration": c} for (s, t), c in state.configuration.items()]
+        out = self._fs.create(self._path(draft))
+        try:
+            out.write(bytearray(json.dumps(body, default=_plain).encode()))
+        finally:
+            out.close()
         options = self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
         self._fs.mkdirs(self._path(f"{self.root}/registry"))
         try:
-            self._context.rename(self._path(draft), self._path(self._folder(new)), options)
+            self._context.rename(self._path(draft), self._path(self._file(new)), options)
         except Exception as e:
             self._fs.delete(self._path(draft), True)
-            if self._fs.exists(self._path(self._folder(new))):
+            if self._fs.exists(self._path(self._file(new))):
                 raise Conflict(f"version {new} of the registry is there already") from e
             raise
         return new
@@ -151,23 +157,20 @@ class Registry:
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
 
+    def names(self, path: str) -> list[str]:
+        """Names in a folder; none if it isn't there."""
+        at = self._path(path)
+        return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
     def existing(self, partitions: list[Partition]) -> list[Partition]:
-        """Those whose folder is there: one listing for each parent folder, not a look-up a partition."""
+        """Partitions with a folder to read, each with all of them in `loads`: one listing for each parent folder."""
         listed: dict[str, set[str]] = {}
         out = []
         for p in partitions:
             parent, _, name = p.path.rpartition("/")
             if parent not in listed:
-                at = self._path(parent)
-                listed[parent] = {s.getPath().getName() for s in self._fs.listStatus(at)} if self._fs.exists(at) else set()
-            if name in listed[parent]:
-                out.append(p)
+                listed[parent] = set(self.names(parent))
+            folders = (p.path,) * (name in listed[parent]) + p.loads
+            if folders:
+                out.append(replace(p, loads=folders))
         return out
-
-    def move_files(self, source: str, target: str) -> None:
-        """Renames each data file of one folder into another; file names are unique."""
-        self._fs.mkdirs(self._path(target))
-        for s in self._fs.listStatus(self._path(source)):
-            name = s.getPath().getName()
-            if not name.startswith(("_", ".")):
-                self._fs.rename(s.getPath(), self._path(f"{target}/{uuid.uuid4().hex}-{name}"))

@@ -53,8 +53,8 @@ def _iso(value):
 
 
 def scan(spark: SparkSession, partitions: Iterable[Partition], key_column: str, schema: StructType | None = None, key: Bounds = (None, None), where: dict[str, Bounds] | None = None) -> DataFrame:
-    """Rows with keys in [low, high) and values in the given bounds; Parquet filters go on from the survivors."""
-    paths = [p.path for p in survivors(partitions, key, where)]
+    """Rows with keys in [low, high) and values in the given bounds; Parquet filters go on from the survivors' `loads`."""
+    paths = [f for p in survivors(partitions, key, where) for f in p.loads]
     if paths:
         reader = spark.read.schema(schema) if schema else spark.read
         out = reader.parquet(*paths)

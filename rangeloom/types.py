@@ -68,13 +68,17 @@ class KeyType(str, Enum):
 
 REGISTRY_SCHEMA = (
     "schema_name string, parent_name string, partition_name string, range_id string, strategy string, kind string, state string, key_column string, key_type string, "
-    "lower_int long, upper_int long, lower_ts timestamp_ntz, upper_ts timestamp_ntz, path string, detached_date date, constraints array<struct<name: string, column: string, op: string, value: string>>, version long"
+    "lower_int long, upper_int long, lower_ts timestamp_ntz, upper_ts timestamp_ntz, path string, detached_date date, constraints array<struct<name: string, column: string, op: string, value: string>>, version long, "
+    "loads array<string>, options map<string,string>"
 )
 
 
 @dataclass(frozen=True)
 class Partition:
-    """A child with its half-open bounds; an overflow or default partition has none."""
+    """A child with its half-open bounds; an overflow or default partition has none.
+
+    Its rows are in `path`, if that is there, and in the folders `loads`, one for each insert that reached it.
+    """
 
     schema_name: str
     parent_name: str
@@ -90,6 +94,8 @@ class Partition:
     state: str = "attached"
     detached_date: date | None = None
     constraints: tuple[dict, ...] = ()
+    loads: tuple[str, ...] = ()
+    options: dict = field(default_factory=dict)
 
     @property
     def type(self) -> KeyType:
@@ -99,7 +105,7 @@ class Partition:
         number = self.key_type == KeyType.INT.value
         return {
             "schema_name": self.schema_name, "parent_name": self.parent_name, "partition_name": self.partition_name, "range_id": self.range_id, "strategy": self.strategy, "kind": self.kind, "state": self.state, "key_column": self.key_column, "key_type": self.key_type,
-            "lower_int": self.lower if number else None, "upper_int": self.upper if number else None, "lower_ts": None if number else self.lower, "upper_ts": None if number else self.upper, "path": self.path, "detached_date": self.detached_date, "constraints": [dict(c) for c in self.constraints], "version": version,
+            "lower_int": self.lower if number else None, "upper_int": self.upper if number else None, "lower_ts": None if number else self.lower, "upper_ts": None if number else self.upper, "path": self.path, "detached_date": self.detached_date, "constraints": [dict(c) for c in self.constraints], "version": version, "loads": list(self.loads), "options": self.options,
         }
 
     @classmethod
@@ -107,7 +113,7 @@ class Partition:
         number = r["key_type"] == KeyType.INT.value
         lower, upper = (r["lower_int"], r["upper_int"]) if number else (r["lower_ts"], r["upper_ts"])
         own = {k: r[k] for k in ("schema_name", "parent_name", "partition_name", "key_column", "key_type", "path", "range_id", "strategy", "kind", "state", "detached_date")}
-        return cls(**own, lower=lower, upper=upper, constraints=tuple(c if isinstance(c, dict) else c.asDict() for c in r["constraints"] or ()))
+        return cls(**own, lower=lower, upper=upper, constraints=tuple(c if isinstance(c, dict) else c.asDict() for c in r["constraints"] or ()), loads=tuple(r["loads"] or ()), options=dict(r["options"] or {}))
 
     def bounds(self) -> list[str]:
         """Bounds as text: half-open for a native partition, inclusive for an inherited one."""
@@ -122,7 +128,8 @@ class Partition:
 
 @dataclass(frozen=True)
 class Table:
-    """A table the manager knows; strategy is None until it is partitioned."""
+    """A table the manager knows; strategy is None until it is partitioned. `columns` is its schema as JSON, kept here
+    since no folder of the table lasts for ever."""
 
     schema_name: str
     table_name: str
@@ -133,6 +140,7 @@ class Table:
     template: bool = False
     primary_key: tuple[str, ...] = ()
     options: dict = field(default_factory=dict)
+    columns: str = ""
 
 
 @dataclass(frozen=True)
@@ -155,6 +163,10 @@ class ForeignKey:
     parent: str
     parent_columns: tuple[str, ...]
     valid: bool = True
+    parent_schema: str | None = None  # None: the schema of the key's own table
+
+    def refers_to(self, schema: str, table: str) -> bool:
+        return (self.parent_schema or self.schema_name, self.parent) == (schema, table)
 
 
 def fold(name: str) -> str:
@@ -162,6 +174,33 @@ def fold(name: str) -> str:
     return name.strip().lower()
 
 
+#: Fixed value: the longest identifier.
+LONGEST = 63
+
+
+def named(table: str, *parts: str | None) -> str:
+    """`<table>_<part>_...`; the table's name is cut where the whole would be too long, so that names stay apart."""
+    tail = "_".join(p for p in parts if p)
+    return f"{table[: LONGEST - len(tail) - 1]}_{tail}"
+
+
+class Names:
+    """Names of LONGEST characters at most that differ from all taken ones, and then are taken themselves."""
+
+    def __init__(self, taken):
+        self.taken, self.tried = set(taken), {}
+
+    def unused(self, name: str, ending: str = "_idx") -> str:
+        """The name, or the first one with a number before its ending that isn't taken."""
+        stem = name.removesuffix(ending)[: LONGEST - len(ending)]
+        n = self.tried.get((stem, ending), 0)
+        while (out := f"{stem[: LONGEST - len(ending) - len(str(n or ''))]}{n or ''}{ending}") in self.taken:
+            n += 1
+        self.tried[stem, ending] = n
+        self.taken.add(out)
+        return out
+
+
 def suffix(key: KeyType, lower, upper) -> str:
     """`<lower>_<upper>` without time of day and dashes; a negative number keeps its sign as m."""
     if key is KeyType.INT:
@@ -178,4 +217,4 @@ def range_of(partition_name: str, parent_name: str) -> str | None:
     return m[1] if m else None
 
 
-__all__ = ["Conflict", "ForeignKey", "Index", "KeyType", "NotPartitioned", "OutOfRange", "Partition", "PartitionError", "REGISTRY_SCHEMA", "Table", "UnsupportedKey", "asdict", "fold", "range_of", "replace", "suffix"]
+__all__ = ["Conflict", "ForeignKey", "Index", "KeyType", "LONGEST", "Names", "NotPartitioned", "OutOfRange", "Partition", "PartitionError", "REGISTRY_SCHEMA", "Table", "UnsupportedKey", "asdict", "fold", "named", "range_of", "replace", "suffix"]
