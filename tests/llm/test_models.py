@@ -5,6 +5,8 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from rangeloom.llm import langid, lm, quality
@@ -15,41 +17,80 @@ def remainder(i, m):
     return None if i is None else zlib.crc32(str(i).encode()) % m
 
 
-def test_lm_against_counts(docs, rows):
-    split = lambda t: (t or "").encode().lower().split() + [lm.END]
-    one, two, starts = Counter(), Counter(), 0
+def probabilities(order, strength, training):
+    """(N, V, p of a token after a history): the closed form, by counting."""
+    grams, histories = Counter(), Counter()
+    for w in training:
+        for i in range(len(w)):
+            for n in range(1, order + 1):
+                if n <= i + 2:
+                    g = (None, *w[: i + 1])[i + 2 - n :]
+                    grams[tuple(g)] += 1
+                    histories[tuple(g[:-1])] += 1
+    tokens, types = sum(map(len, training)), len({x for w in training for x in w})
+
+    def p(history, w):
+        if not history:
+            return (grams[w,] + 1) / (tokens + types + 1)
+        return (grams[*history, w] + strength * p(history[1:], w)) / (count(history) + strength)
+
+    def count(history):  # how often training was there: a last token is a history too, that nothing follows
+        return len(training) if history == (None,) else grams[history]
+
+    return tokens, types, p
+
+
+def split(t):
+    return (t or "").encode().lower().split() + [lm.END]
+
+
+@pytest.mark.parametrize(("order", "block_bytes", "fan"), [(1, 10_000_000, None), (2, 10_000_000, None), (2, 3_000, None), (2, 3_000, 3), (3, 20_000, 4), (4, 10_000_000, None)])
+def test_lm_against_counts(docs, rows, order, block_bytes, fan):
+    """As the closed form says, in one block and in several, through one level of exchange and through more."""
+    tokens, types, p = probabilities(order, 500.0, [split(t) for i, t, *_ in rows if remainder(i, 7) != 2])
+    got = lm.score(docs, order=order, block_bytes=block_bytes, fan=fan).collect()
+    want = []
     for i, t, *_ in rows:
-        if remainder(i, 7) != 2:
-            w = split(t)
-            one.update(w)
-            two.update(zip([None, *w], w))
-            starts += 1
-    n, v, k = sum(one.values()), len(one), 500.0
-    for block_bytes in (3_000, 10_000_000):
-        got = lm.score(docs, block_bytes=block_bytes).collect()
-        assert len(got) == len(rows)
-        want = {}
-        for i, t, *_ in rows:
-            w, base, score = split(t), 0.0, 0.0
-            for u, x in zip([None, *w], w):
-                p = (one[x] + 1) / (n + v + 1)
-                h = starts if u is None else one[u]
-                base, score = base + log10(p), score + log10((two[u, x] + k * p) / (h + k))
-            want.setdefault((i, len(w), sum(one[x] > 0 for x in w), round(base, 6), round(score, 6)), []).append(remainder(i, 7) == 2)
-        assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got) == Counter({q: len(x) for q, x in want.items()})
-        assert all(r.train_tokens == n and r.held_out == (remainder(r.doc_id, 7) == 2) for r in got)
+        w = split(t)
+        score = sum(log10(p((None, *w[:k])[max(0, k + 2 - order) :] if order > 1 else (), x)) for k, x in enumerate(w))
+        base = [p((), x) for x in w]
+        want.append((i, remainder(i, 7) == 2, len(w), sum(x * (tokens + types + 1) > 1.5 for x in base), tokens, round(sum(map(log10, base)), 6), round(score, 6)))
+    assert sorted([(*tuple(r)[:5], round(r.base_score, 6), round(r.score, 6)) for r in got], key=str) == sorted(want, key=str)
+
+
+def automaton(training, text, order, strength=7.0):
+    """The part of it that all words of `text` can reach."""
+    grams = lm.Ngrams.of([t.encode() for t in [*training, text]], order)
+    learned = np.repeat([True] * len(training) + [False], grams.sizes)
+    words = [split(t) for t in training]
+    return lm.Automaton(grams, grams.counts(learned), sum(map(len, words)), len({x for w in words for x in w}), len(training), strength), grams
 
 
 def test_lm_states_sum_to_one():
-    """Over all words and the unknown one, from a seen and an unseen history."""
-    counts = {"a": 5, "b": 2, "": 3}
-    n, v = sum(counts.values()), 3
-    for history, pairs in ((5, {"a": 1, "b": 4, "": 0}), (0, {"a": 0, "b": 0, "": 0})):
-        total = 0.0
-        for w in ("a", "b", "", None):
-            c = [np.array([history, counts.get(w, 0)]), np.array([0, pairs.get(w, 0)])]
-            total += 10 ** lm.traverse(np.array([2]), c, n, v, 3, 7.0)[1]
-        assert total == pytest.approx(1)
+    """Over all words, the end and an unseen word, from every state: by arcs and failure arcs."""
+    training = ["a b a c", "b a a", "c", "a b"]
+    machine, grams = automaton(training, "a b c zz", 3)
+    tokens = {w: int(machine.grams.at[0][np.flatnonzero(np.concatenate([split(t) for t in [*training, "a b c zz"]]) == w)[0]]) for w in (b"a", b"b", b"c", lm.END, b"zz")}
+    # nothing follows the end
+    states = sorted(set(machine.target[machine.key % machine.words != tokens[lm.END]].tolist()) | {lm.ROOT, lm.START})
+    assert len(states) > 6
+    for s in states:
+        _, weight = machine.step(np.full(5, s), np.array(list(tokens.values())))
+        assert (10**weight).sum() == pytest.approx(1)
+    # an unseen word leads to the root by failure arcs alone
+    after, _ = machine.step(np.array([s for s in states]), np.full(len(states), tokens[b"zz"]))
+    assert set(after.tolist()) == {lm.ROOT}
+
+
+def test_lm_lanes(monkeypatch):
+    """A long text read in lanes has the score that it has when it is read in one."""
+    r = np.random.default_rng(2)
+    training = [" ".join(f"w{x}" for x in r.integers(0, 30, 400)) for _ in range(4)]
+    for order in (1, 2, 3):
+        whole = automaton(training, "x", order)[0].score()
+        monkeypatch.setattr(lm, "LANE", 7)
+        assert automaton(training, "x", order)[0].score() == pytest.approx(whole)
+        monkeypatch.undo()
 
 
 def test_lm_order_three_beats_two_on_copies(docs):
@@ -57,6 +98,26 @@ def test_lm_order_three_beats_two_on_copies(docs):
     assert three > two
 
 
+@pytest.mark.parametrize(("blocks", "fan"), [(10, 10), (100, 10), (90, 10), (1000, 10)])
+def test_packets_grow_with_blocks(spark, blocks, fan):
+    """A block writes `fan` packets at most, none of them empty, and each level has about as many blocks as the last."""
+    from rangeloom.llm import common as C
+
+    r = np.random.default_rng(blocks)
+    ranges = C.levels(blocks, fan)
+    assert np.prod(ranges) >= blocks and max(ranges) <= fan
+    keys = [np.sort(r.integers(0, 1 << 63, 30, dtype=np.uint64) * C.U64(2)) for _ in range(blocks)]
+    first = [p for b, k in enumerate(keys) for p in C.dealt(b, [k, np.ones(30, np.uint8), np.ones(30, np.uint8)], ranges[0])]
+    assert len(first) <= fan * blocks and all(len(C.unpacked(p[2])[0]) for p in first)
+    if blocks <= 100:
+        answers, last = C.exchange(spark.createDataFrame(first, C.PACKET_SCHEMA), blocks, ranges, lm.merge, lambda m: [m[0]], fan=fan)
+        assert last.count() <= fan * blocks * 1.5
+        rows = answers.toArrow()
+        for b in (0, blocks - 1):  # the answers have the order of the keys that were asked
+            own = rows.filter(pa.compute.equal(rows["block"], b))
+            assert (C.columns_of(own)[0] == keys[b]).all() and own.num_rows <= fan
+
+
 def test_lm_empty(empty):
     assert lm.score(empty).collect() == []
 
