@@ -4,13 +4,16 @@ Every window has an anchor: the leftmost of its `GRAM`-grams with the least hash
 equal anchors at equal places, so windows need to be compared only under a common anchor. Symbols are
 bytes or words. Three passes over the documents, each in blocks:
 
-1. anchors are asked for: which occur in more than one document?
+1. anchors are asked for: which occur in more than one document, and which in very many places?
 2. around each anchor that does, its *context* (all windows that it anchors, joined) goes to the
    shard of the anchor; equal contexts of a block go once, with the least doc_id. The engine of the
    shard finds repeats and answers each context with spans (from, to, least doc_id with that string);
 3. spans with a smaller doc_id than the document's own are removed from it.
 
-A passage that a third of all documents share reaches its shard once a block.
+A passage that a third of all documents share reaches its shard once a block. A short string that very
+many documents share, each between other words, would bring as many different contexts to one shard: the
+windows of an anchor with more than HOT occurrences go one by one, each to the shard of its own hash.
+Hashes only route: strings are held equal by their bytes.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,8 +36,10 @@ REACH = WINDOW - GRAM + 1  # grams of a window
 #: Symbols that are hashed at once.
 CHUNK = 500_000
 NULL_ID = -(2**63)  # a null doc_id counts as smaller than every other
-#: (contexts in one buffer of units, offsets, least ids) and their anchors to spans (context, from, to, least id)
-Engine = Callable[[np.ndarray, list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+#: Occurrences of an anchor from which on its windows go one by one.
+HOT = 4_000
+#: Distinct contexts, sorted by anchor (anchors, least ids, whether there are several copies, texts), to spans (context, from, to, least id)
+Engine = Callable[[np.ndarray, np.ndarray, np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
 @dataclass(frozen=True)
@@ -48,7 +54,12 @@ class Symbols:
 
     def slice(self, a: int, b: int) -> bytes:
         """Symbols a to b: bytes, or words each followed by a space."""
-        return self.raw[a:b] if self.at is None else self.raw[self.at[a] : self.at[b]]
+        lo, size = self.bytes_of(np.array([a]), np.array([b]))
+        return self.raw[lo[0] : lo[0] + size[0]]
+
+    def bytes_of(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first byte, how many) of symbols a to b."""
+        return (a, b - a) if self.at is None else (self.at[a], self.at[b] - self.at[a])
 
 
 def as_bytes(texts: list[bytes], ids: np.ndarray) -> Symbols:
@@ -135,26 +146,27 @@ def chunks(s: Symbols) -> Iterator[tuple[int, np.ndarray]]:
         i = j
 
 
-def all_anchors(s: Symbols, shared: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """(hash, document, first window, last window, hash of the context) of a block's anchors.
-
-    With `shared`, only of those in it, and with context hashes; without, the last is empty.
-    """
+def all_anchors(s: Symbols) -> tuple[np.ndarray, ...]:
+    """(hash, document, first window, last window) of a block's anchors."""
     parts = []
     for i, start in chunks(s):
-        value = s.value[start[0] : start[-1]].astype(C.U64) + C.U64(1)
-        start = start - start[0]
-        key, a, b = anchors(value, start)
-        content = np.empty(0, C.U64)
-        if shared is not None:
-            keep = shared[np.minimum(np.searchsorted(shared, key), len(shared) - 1)] == key if len(shared) else np.zeros(len(key), bool)
-            key, a, b = key[keep], a[keep], b[keep]
-            running, inverse = prefix_hash(value)
-            content = C.mixed((running[b + WINDOW] - running[a]) * inverse[a] + (b - a).astype(C.U64))
+        key, a, b = anchors(s.value[start[0] : start[-1]].astype(C.U64) + C.U64(1), start - start[0])
         base = s.start[i]
-        parts.append((key, i + np.searchsorted(start, a, side="right") - 1, a + base, b + base, content))
+        parts.append((key, i + np.searchsorted(start - start[0], a, side="right") - 1, a + base, b + base))
     empty = np.empty(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (empty.astype(C.U64), empty, empty, empty, empty.astype(C.U64))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (empty.astype(C.U64), empty, empty, empty)
+
+
+def contents(s: Symbols, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of the symbols from each a to b, in order of a."""
+    out = np.empty(len(a), C.U64)
+    for _, start in chunks(s):
+        lo, hi = np.searchsorted(a, start[[0, -1]])
+        if lo < hi:
+            running, inverse = prefix_hash(s.value[start[0] : start[-1]].astype(C.U64) + C.U64(1))
+            x, y = a[lo:hi] - start[0], b[lo:hi] - start[0]
+            out[lo:hi] = C.mixed((running[y] - running[x]) * inverse[x] + (y - x).astype(C.U64))
+    return out
 
 
 def prefix_hash(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,6 +187,7 @@ class Contexts:
 
     key: np.ndarray
     least_id: np.ndarray
+    several: np.ndarray  # whether there are copies in the block
     first: np.ndarray  # one occurrence of each: symbols from, to
     last: np.ndarray
     of: np.ndarray  # occurrence -> context
@@ -182,18 +195,104 @@ class Contexts:
     at: np.ndarray  # occurrence -> its first symbol
 
 
-def contexts(s: Symbols, shared: np.ndarray) -> Contexts:
-    key, doc, a, b, content = all_anchors(s, shared)
-    b = b + WINDOW
-    order = np.lexsort((s.ids[doc], content, key))
-    key, content, doc, a, b = (x[order] for x in (key, content, doc, a, b))
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
-    of, lead = np.cumsum(new) - 1, np.flatnonzero(new)
-    return Contexts(key[lead], s.ids[doc[lead]], a[lead], b[lead], of, doc, a)
-
-
-def remove_repeats(docs: DataFrame, read: Callable[[list[bytes], np.ndarray], Symbols], engine: Engine, finish: Callable[[Symbols, np.ndarray], dict], schema: str | StructType, block_bytes: int, carry: bool = False) -> DataFrame:
+def same(s: Symbols, a: np.ndarray, b: np.ndarray, other_a: np.ndarray, other_b: np.ndarray) -> np.ndarray:
+    """Whether symbols a to b are those from other_a to other_b, byte by byte."""
+    flat = np.frombuffer(s.raw, np.uint8)
+    (x, size), (y, other) = s.bytes_of(a, b), s.bytes_of(other_a, other_b)
+    equal = size == other
+    ends = np.cumsum(np.where(equal, size, 0))
+    lo = 0
+    while lo < len(a):  # a million bytes at a time
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 1_000_000, side="right")))
+        part = lo + np.flatnonzero(equal[lo:hi])
+        differ = flat[C.stretches(x[part], size[part])] != flat[C.stretches(y[part], size[part])]
+        equal[np.repeat(part, size[part])[differ]] = False
+        lo = hi
+    return equal
+
+
+def contexts(s: Symbols, flags: np.ndarray) -> Contexts:
+    """Those of the block's anchors that occur in several documents: `flags` has 1 for them and 2 more if they are hot."""
+    key, doc, a, b = all_anchors(s)
+    flag = flags[np.unique(key, return_inverse=True)[1]] if len(key) else np.empty(0, np.uint8)
+    cold, hot = np.flatnonzero(flag == 1), np.flatnonzero(flag == 3)
+    count = b[hot] - a[hot] + 1
+    own = np.concatenate((cold, np.repeat(hot, count)))
+    a = np.concatenate((a[cold], C.stretches(a[hot], count)))
+    b = np.concatenate((b[cold], a[len(cold) :])) + WINDOW
+    order = np.argsort(a, kind="stable")
+    is_window, own, a, b = (np.arange(len(own)) >= len(cold))[order], own[order], a[order], b[order]
+    doc, content = doc[own], contents(s, a, b)
+    key = np.where(is_window, C.mixed(content + C.U64(1)), key[own])
+    while True:
+        order = np.lexsort((s.ids[doc], content, key))
+        key, content, doc, a, b = (x[order] for x in (key, content, doc, a, b))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
+        of, lead = np.cumsum(new) - 1, np.flatnonzero(new)
+        copies = np.flatnonzero(~new)
+        unlike = copies[~same(s, a[copies], b[copies], a[lead[of[copies]]], b[lead[of[copies]]])]
+        if not len(unlike):
+            break
+        content[unlike] = C.mixed(content[unlike] + C.U64(1))  # equal hashes of unequal strings
+    several = (np.bincount(of, minlength=len(lead)) > 1).astype(np.uint8)
+    return Contexts(key[lead], s.ids[doc[lead]], several, a[lead], b[lead], of, doc, a)
+
+
+def merge_anchors(asked: list[list[np.ndarray]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Entries (anchor, whether several documents have it, how often it occurs)."""
+    key, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+    several, counts = np.zeros(len(key), np.uint8), np.zeros(len(key), np.int64)
+    several[(np.bincount(at, minlength=len(key)) > 1)] = 1
+    several[at[np.concatenate([a[1] for a in asked]) > 0]] = 1
+    np.add.at(counts, at, np.concatenate([a[2].astype(np.int64) for a in asked]))
+    return [key, several, C.small(counts)], np.split(at, np.cumsum([len(a[0]) for a in asked])[:-1])
+
+
+def merge_contexts(asked: list[list[C.Column_]]) -> tuple[list[C.Column_], list[np.ndarray]]:
+    """Entries (anchor, least id, whether there are several copies, text): equal texts under one anchor are one."""
+    key, ids, several, texts = (C.joined([a[i] for a in asked]) for i in range(4))
+    known: dict[tuple[int, bytes], int] = {}
+    of = np.fromiter((known.setdefault(k, len(known)) for k in zip(key.tolist(), texts.texts(), strict=True)), np.int64, len(key))
+    first = np.empty(len(known), np.int64)
+    first[of[::-1]] = np.arange(len(of))[::-1]
+    least_id, more = np.full(len(known), np.iinfo(np.int64).max), (np.bincount(of, minlength=len(known)) > 1).astype(np.uint8)
+    np.minimum.at(least_id, of, ids)
+    more[of[several > 0]] = 1
+    order = np.argsort(key[first], kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    first = first[order]
+    return [key[first], least_id[order], more[order], texts.take(first)], np.split(place[of], np.cumsum([len(a[0]) for a in asked])[:-1])
+
+
+def entries(s: Symbols, c: Contexts) -> list[C.Column_]:
+    lo, size = s.bytes_of(c.first, c.last)
+    return [c.key, c.least_id, c.several, C.Ragged(size, np.frombuffer(s.raw, np.uint8)[C.stretches(lo, size)])]
+
+
+def found(engine: Engine, merged: list[C.Column_]) -> C.Ragged:
+    """The spans (from, to, least id) of each entry."""
+    which, a, b, m = engine(*merged[:3], merged[3].texts())
+    order = np.argsort(which, kind="stable")
+    return C.Ragged(np.bincount(which, minlength=len(merged[0])), C.small(a[order]), C.small(b[order]), m[order])
+
+
+def covered(s: Symbols, c: Contexts, spans: C.Ragged | None) -> np.ndarray:
+    """Which symbols lie in spans of documents with smaller ids than their own."""
+    edge = np.zeros(len(s.value) + 1, np.int32)
+    if spans is not None:
+        each = spans.take(c.of)
+        occurrence = np.repeat(np.arange(len(c.of)), each.counts)
+        a, b, m = (x.astype(np.int64) for x in each.flats)
+        earlier = m < s.ids[c.doc[occurrence]]
+        start = c.at[occurrence[earlier]]
+        np.add.at(edge, start + a[earlier], 1)
+        np.add.at(edge, start + b[earlier], -1)
+    return np.cumsum(edge, out=edge)[:-1] > 0
+
+
+def remove_repeats(docs: DataFrame, read: Callable[[list[bytes], np.ndarray], Symbols], engine: Engine, finish: Callable[[Symbols, np.ndarray], dict], schema: str | StructType, block_bytes: int, carry: bool = False, fan: int | None = None) -> DataFrame:
     """`finish` gets a block's symbols and which of them are repeats of documents with smaller ids.
 
     `carry` keeps the other columns of docs, as a struct `rest` that schema names too.
@@ -202,7 +301,7 @@ def remove_repeats(docs: DataFrame, read: Callable[[list[bytes], np.ndarray], Sy
     C.ship(docs.sparkSession)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *([F.struct(*[docs[c] for c in others]).alias("rest")] if others else []))
     blocks = C.block_count(docs, block_bytes)
-    shards = blocks
+    ranges = C.levels(blocks, fan or C.FAN)
     rows = C.in_blocks(docs, blocks)
 
     def symbols(table: pa.Table) -> Symbols:
@@ -216,76 +315,34 @@ def remove_repeats(docs: DataFrame, read: Callable[[list[bytes], np.ndarray], Sy
         key, ids = key[order], ids[order]
         lead = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
         several = (np.minimum.reduceat(ids, lead) < np.maximum.reduceat(ids, lead)) if len(key) else np.empty(0, bool)
-        key, cut, block = key[lead], C.cuts(key[lead], shards), table["block"][0].as_py()
-        return C.packets([(i, block, C.packed(key[cut[i] : cut[i + 1]], np.packbits(several[cut[i] : cut[i + 1]]))) for i in range(shards)])
-
-    def tell(table: pa.Table) -> pa.Table:
-        asked = C.payloads(table, "block")
-        key, at = np.unique(np.concatenate([a[0] for _, a in asked]), return_inverse=True)
-        several = np.concatenate([np.unpackbits(a[1], count=len(a[0])) for _, a in asked])
-        shared = (np.bincount(at, minlength=len(key)) > 1) | (np.bincount(at, weights=several, minlength=len(key)) > 0)
-        shard = table["shard"][0].as_py()
-        out, done = [], 0
-        for block, a in asked:
-            out.append((shard, block, C.packed(a[0][shared[at[done : done + len(a[0])]]])))
-            done += len(a[0])
-        return C.packets(out)
-
-    def send(table: pa.Table, answers: pa.Table) -> pa.Table:
-        s, block = symbols(table), table["block"][0].as_py()
-        c = contexts(s, np.concatenate([a[0] for _, a in C.payloads(answers, "shard")]))
-        cut, out = C.cuts(c.key, shards), []
-        for i in range(shards):
-            r = slice(cut[i], cut[i + 1])
-            parts = [s.slice(a, b) for a, b in zip(c.first[r], c.last[r], strict=True)]
-            out.append((i, block, C.packed(c.key[r], c.least_id[r], np.array([len(x) for x in parts], np.uint32), np.frombuffer(b"".join(parts), np.uint8))))
-        return C.packets(out)
-
-    def compare(table: pa.Table) -> pa.Table:
-        asked, shard = C.payloads(table, "block"), table["shard"][0].as_py()
-        key, ids = (np.concatenate([a[i] for _, a in asked]) for i in (0, 1))
-        texts = []
-        for _, a in asked:
-            raw, ends = a[3].tobytes(), np.cumsum(a[2].astype(np.int64)).tolist()
-            texts += [raw[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
-        # equal contexts of several blocks are one
-        known: dict[tuple[int, bytes], int] = {}
-        of = np.fromiter((known.setdefault(k, len(known)) for k in zip(key.tolist(), texts, strict=True)), np.int64, len(texts))
-        least_id = np.full(len(known), np.iinfo(np.int64).max)
-        np.minimum.at(least_id, of, ids)
-        which, a, b, m = engine(np.array([k for k, _ in known], dtype=C.U64), [t for _, t in known], least_id)
-        order = np.argsort(which, kind="stable")
-        which, a, b, m = which[order], a[order], b[order], m[order]
-        lo, hi = np.searchsorted(which, of), np.searchsorted(which, of, side="right")
-        out, done = [], 0
-        for block, x in asked:
-            n = len(x[0])
-            l, h = lo[done : done + n], hi[done : done + n]
-            counts = h - l
-            pick = np.repeat(l - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-            out.append((shard, block, C.packed(C.small(counts), C.small(a[pick]), C.small(b[pick]), m[pick], np.unique(x[0]))))
-            done += n
-        return C.packets(out)
-
-    def remove(table: pa.Table, spans: pa.Table) -> pa.Table:
-        s, got = symbols(table), [a for _, a in C.payloads(spans, "shard")]
-        c = contexts(s, np.concatenate([a[4] for a in got]))
-        counts = np.concatenate([a[0].astype(np.int64) for a in got])
-        begin = np.cumsum(counts) - counts
-        a, b, m = (np.concatenate([x[i].astype(np.int64) for x in got]) for i in (1, 2, 3))
-        n = counts[c.of]
-        occurrence = np.repeat(np.arange(len(c.of)), n)
-        pick = begin[c.of][occurrence] + np.arange(len(occurrence)) - np.repeat(np.cumsum(n) - n, n)
-        earlier = m[pick] < s.ids[c.doc[occurrence]]
-        occurrence, pick = occurrence[earlier], pick[earlier]
-        edge = np.zeros(len(s.value) + 1, np.int32)
-        np.add.at(edge, c.at[occurrence] + a[pick], 1)
-        np.add.at(edge, c.at[occurrence] + b[pick], -1)
-        return pa.table({"doc_id": table["doc_id"].combine_chunks()} | ({"rest": table["rest"]} if others else {}) | finish(s, np.cumsum(edge, out=edge)[:-1] > 0))
-
-    shared = rows.groupBy("block").applyInArrow(ask, C.PACKET_SCHEMA).groupBy("shard").applyInArrow(tell, C.PACKET_SCHEMA)
-    spans = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send, C.PACKET_SCHEMA).groupBy("shard").applyInArrow(compare, C.PACKET_SCHEMA)
-    return rows.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(remove, schema)
+        counts = C.small(np.diff(np.append(lead, len(key))))
+        return C.packets(C.dealt(table["block"][0].as_py(), [key[lead], several.astype(np.uint8), counts], ranges[0]))
+
+    def tell(merged: list[C.Column_]) -> list[C.Column_]:
+        return [merged[1] * (1 + 2 * (merged[2] >= HOT)).astype(np.uint8)]
+
+    def own_contexts(s: Symbols, flags: pa.Table) -> Contexts:
+        got = C.columns_of(flags)
+        return contexts(s, got[0] if got else np.empty(0, np.uint8))
+
+    def send(table: pa.Table, flags: pa.Table) -> pa.Table:
+        s = symbols(table)
+        return C.packets(C.dealt(table["block"][0].as_py(), entries(s, own_contexts(s, flags)), ranges[0]))
+
+    def compare(merged: list[C.Column_]) -> list[C.Column_]:
+        return [found(engine, merged)]
+
+    def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
+        s = symbols(table)
+        c = own_contexts(s, answers.filter(pc.equal(answers["answer"], "flags")))
+        got = C.columns_of(answers.filter(pc.equal(answers["answer"], "spans")))
+        return pa.table({"doc_id": table["doc_id"].combine_chunks()} | ({"rest": table["rest"]} if others else {}) | finish(s, covered(s, c, got[0] if got else None)))
+
+    flags, _ = C.exchange(rows.groupBy("block").applyInArrow(ask, C.PACKET_SCHEMA), blocks, ranges, merge_anchors, tell, fan=fan)
+    sent = rows.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(send, C.PACKET_SCHEMA)
+    spans, _ = C.exchange(sent, blocks, ranges, merge_contexts, compare, fan=fan)
+    answers = flags.withColumn("answer", F.lit("flags")).unionAll(spans.withColumn("answer", F.lit("spans")))
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remove, schema)
 
 
 def runs(removed: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

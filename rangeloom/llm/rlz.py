@@ -1,11 +1,13 @@
 """Substring dedup by relative Lempel-Ziv parsing over words.
 
 The contexts that reach a shard (see anchors.py) are its reference block, in order of doc_id. An
-index holds, for each string of WINDOW words of the block, its earliest place. A context is parsed
-greedily against the block: at each place the longest match with one source is a factor, if it has
-WINDOW words or more. Parsing goes on WINDOW - 1 words before a factor's end, so a string that
-straddles two factors is found too; sources are compared word by word, not by hash alone. Every
-document meets every reference block that can hold a match, since its anchors choose the shards.
+index holds, for each string of WINDOW words of the block, its earliest place; strings are held equal by
+their words, not by their hashes. A context is parsed greedily against the block: from each place on, the
+words that follow the string's earliest place are one factor as long as they are the earliest of theirs.
+Parsing goes on WINDOW - 1 words before a factor's end, so a string that straddles two factors is found
+too. A context that several documents have is parsed for all but the first of them, so its factors cover
+it; else only strings of earlier documents count. Every document meets every reference block that can
+hold a match, since its anchors choose the shards. Nothing is removed but by a factor.
 """
 
 from __future__ import annotations
@@ -28,58 +30,54 @@ class ReferenceBlock:
         count = np.maximum(sizes - A.WINDOW + 1, 0)
         self.text = np.repeat(np.arange(len(texts)), count)
         self.first = np.cumsum(count) - count
-        self.at = self.start[:-1][self.text] + np.arange(len(self.text)) - self.first[self.text]
+        self.at = C.stretches(self.start[:-1], count)
+        #: for each string, where the earliest document has it, and which that is
+        self.source = self.at.copy()
         running, inverse = A.prefix_hash(self.word.astype(C.U64) + C.U64(1))
-        seed = C.mixed((running[self.at + A.WINDOW] - running[self.at]) * inverse[self.at])
-        order = np.lexsort((self.at, least_id[self.text], seed))
-        seed = seed[order]
-        lead = np.flatnonzero(np.concatenate(([True], seed[1:] != seed[:-1]))) if len(seed) else np.empty(0, np.int64)
-        #: for each string, where the earliest document has it
-        self.source = np.empty(len(order), np.int64)
-        self.source[order] = np.repeat(self.at[order[lead]], np.diff(np.append(lead, len(order))))
-        self.owner = np.empty(len(order), np.int64)
-        self.owner[order] = np.repeat(least_id[self.text[order[lead]]], np.diff(np.append(lead, len(order))))
-
-    def factors(self, text: int, parse: np.ndarray) -> list[tuple[int, int, int]]:
-        """(from, to, doc_id of the source), greedily from left to right over places that `parse` marks."""
-        word, base, lo = self.word, self.start[text], self.first[text]
-        n = len(parse)
-        out, i = [], 0
-        while i < n:
-            if not parse[i]:
-                i += 1
-                continue
-            source, owner, end = self.source[lo + i], self.owner[lo + i], i + A.WINDOW
-            if (word[source : source + A.WINDOW] != word[base + i : base + end]).any():
-                i += 1  # equal hashes of unequal strings
-                continue
-            # longer while the next string has its earliest place next to this one's
-            while end - A.WINDOW + 1 < n and self.owner[lo + end - A.WINDOW + 1] == owner and self.source[lo + end - A.WINDOW + 1] == source + end - A.WINDOW + 1 - i:
-                if word[source + end - i] != word[base + end]:
-                    break
-                end += 1
-            out.append((i, end, int(owner)))
-            i = end - A.WINDOW + 1
-        return out
-
-
-def spans(key: np.ndarray, texts: list[bytes], least_id: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        seed = self.hashed(running, inverse)
+        left = np.arange(len(self.at))
+        while len(left):  # once, and again for unequal strings with equal hashes
+            left = left[np.lexsort((self.at[left], least_id[self.text[left]], seed[left]))]
+            new = np.concatenate(([True], seed[left[1:]] != seed[left[:-1]]))
+            lead = left[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            equal = lead == left
+            others = np.flatnonzero(~equal)
+            for lo in range(0, len(others), 20_000):
+                part = others[lo : lo + 20_000]
+                equal[part] = (self._words(left[part]) == self._words(lead[part])).all(1)
+            self.source[left[equal]] = self.at[lead[equal]]
+            left = left[~equal]
+        self.owner = least_id[np.searchsorted(self.start, self.source, side="right") - 1]
+
+    def hashed(self, running: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+        return C.mixed((running[self.at + A.WINDOW] - running[self.at]) * inverse[self.at])
+
+    def _words(self, strings: np.ndarray) -> np.ndarray:
+        return self.word[self.at[strings][:, None] + np.arange(A.WINDOW)]
+
+    def factors(self, parse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, from, to, doc_id of the source) of all texts' factors, greedily from left to right over the strings that `parse` marks."""
+        goes_on = np.zeros(len(parse), bool)
+        goes_on[1:] = parse[1:] & parse[:-1] & (self.text[1:] == self.text[:-1]) & (self.source[1:] == self.source[:-1] + 1)
+        begin = np.flatnonzero(parse & ~goes_on)
+        ends = parse.copy()  # a factor's last string
+        ends[:-1] &= ~goes_on[1:]
+        last = np.flatnonzero(ends)
+        text = self.text[begin]
+        return text, begin - self.first[text], last - self.first[text] + A.WINDOW, self.owner[begin]
+
+
+def spans(key: np.ndarray, least_id: np.ndarray, several: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     block = ReferenceBlock(texts, least_id)
-    sizes = np.diff(block.start)
-    out = [(i, 0, int(n), int(m)) for i, (n, m) in enumerate(zip(sizes, least_id, strict=True))]  # a context among its own copies
-    parse = block.owner < least_id[block.text]
-    for i in np.unique(block.text[parse]).tolist():
-        lo = block.first[i]
-        out += [(i, *f) for f in block.factors(i, parse[lo : lo + sizes[i] - A.WINDOW + 1])]
-    which, a, b, m = np.array(out, np.int64).reshape(-1, 4).T
-    return which, a, b, m
+    return block.factors((block.owner < least_id[block.text]) | (several[block.text] > 0))
 
 
-def dedup(docs: DataFrame, block_bytes: int = C.BLOCK_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, block_bytes: int = C.BLOCK_BYTES, fan: int | None = None) -> DataFrame:
     """Removes each word covered by WINDOW words whose sequence also starts in a document with a smaller doc_id.
 
     Null texts have no words. Rows that share a doc_id don't remove each other's words; a null doc_id
-    counts as the smallest. No rows give no rows.
+    counts as the smallest. No rows give no rows. A text of any length is whole: one beyond `block_bytes` is a
+    block by itself. Other columns are left behind, whatever their names.
     """
 
     def finish(s: A.Symbols, removed: np.ndarray) -> dict:
@@ -90,4 +88,4 @@ def dedup(docs: DataFrame, block_bytes: int = C.BLOCK_BYTES) -> DataFrame:
             kept.append(b" ".join([w for w, r in zip(text.split(b" "), removed[a:b].tolist(), strict=True) if not r]) if gone[i] else text)
         return {"n_words": np.diff(s.start), "n_removed": gone, "kept_sha256": A.hexes(kept)}
 
-    return A.remove_repeats(docs, A.as_words, spans, finish, SCHEMA, block_bytes)
+    return A.remove_repeats(docs, A.as_words, spans, finish, SCHEMA, block_bytes, fan=fan)

@@ -31,19 +31,76 @@ def brute(rows, cut, join):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block_bytes", [3_000, 10_000_000])
-def test_suffix(docs, rows, block_bytes):
-    got = sorted([tuple(r) for r in suffix.dedup(docs, block_bytes).collect()], key=str)
+EXCHANGES = pytest.mark.parametrize(("block_bytes", "fan", "hot"), [(3_000, None, 4_000), (3_000, 3, 4_000), (20_000, None, 1), (10_000_000, None, 4_000), (10_000_000, None, 8)])
+
+
+@EXCHANGES
+def test_suffix(docs, rows, monkeypatch, block_bytes, fan, hot):
+    """One block or several, one level of exchange or more, hot anchors' windows one by one."""
+    monkeypatch.setattr(anchors, "HOT", hot)
+    got = sorted([tuple(r) for r in suffix.dedup(docs, block_bytes, fan).collect()], key=str)
     assert got == brute([r[:2] for r in rows], bytes, bytes)
 
 
-@pytest.mark.parametrize("block_bytes", [3_000, 10_000_000])
-def test_rlz(docs, rows, block_bytes):
-    got = sorted([tuple(r) for r in rlz.dedup(docs, block_bytes).collect()], key=str)
+@EXCHANGES
+def test_rlz(docs, rows, monkeypatch, block_bytes, fan, hot):
+    monkeypatch.setattr(anchors, "HOT", hot)
+    got = sorted([tuple(r) for r in rlz.dedup(docs, block_bytes, fan).collect()], key=str)
     want = brute([r[:2] for r in rows], bytes.split, b" ".join)
     assert got == sorted([(i, n, g, h) for i, n, g, _, h in want], key=str)
 
 
+def removed(operator, rows):
+    """(doc_id, symbols removed) with all documents in one block and one shard, without workers."""
+    read = anchors.as_bytes if operator is suffix else anchors.as_words
+    s = read([(t or "").encode() for _, t in rows], np.array([anchors.NULL_ID if i is None else i for i, _ in rows]))
+    own, n = np.unique(anchors.all_anchors(s)[0], return_counts=True)
+    c = anchors.contexts(s, (n > 1).astype(np.uint8))
+    merged, (at,) = anchors.merge_contexts([anchors.entries(s, c)])
+    gone, _ = anchors.runs(anchors.covered(s, c, anchors.found(operator.spans, merged).take(at)), s.start)
+    return sorted(zip([i for i, _ in rows], gone.tolist()), key=str)
+
+
+@pytest.mark.parametrize("operator", [suffix, rlz])
+@pytest.mark.parametrize("collide", [False, True])
+def test_equal_hashes_of_unequal_strings(rows, monkeypatch, operator, collide):
+    """Hashes of contents and strings that tell little apart: bytes and words decide."""
+    if collide:
+        monkeypatch.setattr(anchors, "contents", lambda s, a, b: ((b - a) % 2).astype(np.uint64))
+        monkeypatch.setattr(rlz.ReferenceBlock, "hashed", lambda self, running, inverse: (self.word[self.at] % 3).astype(np.uint64))
+    few = [r[:2] for r in rows if r[0] != 408]
+    want = brute(few, *((bytes, bytes) if operator is suffix else (bytes.split, b" ".join)))
+    assert removed(operator, few) == sorted([(r[0], r[2]) for r in want], key=str)
+
+
+@pytest.mark.parametrize("operator", [suffix, rlz])
+def test_nothing_goes_but_by_intervals_and_factors(rows, monkeypatch, operator):
+    assert sum(n for _, n in removed(operator, [r[:2] for r in rows])) > 500
+    none = np.empty(0, np.int64)
+    monkeypatch.setattr(suffix, "intervals", lambda *a: iter([(none, none, none, none)]))
+    monkeypatch.setattr(rlz.ReferenceBlock, "factors", lambda *a: (none, none, none, none))
+    assert sum(n for _, n in removed(operator, [r[:2] for r in rows])) == 0
+
+
+def test_a_hot_anchor_with_unlike_contexts_is_split(spark, monkeypatch):
+    """Many documents share 24 bytes, each between other words: no shard gets them all."""
+    r = np.random.default_rng(3)
+    word = lambda: "".join(r.choice(list("abcdefghijklmnop"), 8))
+    rows = [(i, f"{' '.join(word() for _ in range(6))} the very same short line {' '.join(word() for _ in range(6))}") for i in range(300)]
+    s = anchors.as_bytes([t.encode() for _, t in rows], np.arange(300))
+    key, doc, a, b = anchors.all_anchors(s)
+    own, at, n = np.unique(key, return_inverse=True, return_counts=True)
+    flags = (n > 1).astype(np.uint8)
+    assert n.max() > 100  # one anchor of nearly all of them
+    whole = anchors.contexts(s, flags)
+    split = anchors.contexts(s, flags * (1 + 2 * (n >= 100)).astype(np.uint8))
+    largest = lambda c: np.unique(c.key, return_counts=True)[1].max()
+    assert largest(whole) > 100 and largest(split) == 1 and len(split.key) <= len(whole.key) * anchors.REACH
+    monkeypatch.setattr(anchors, "HOT", 100)
+    got = sorted(tuple(x) for x in suffix.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute(rows, bytes, bytes))
+
+
 def test_empty(empty):
     assert suffix.dedup(empty).collect() == [] and rlz.dedup(empty).collect() == [] and suffix.trim(empty).collect() == []
 
@@ -76,9 +133,15 @@ def repeats(texts):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 20), st.integers(52, 76), st.booleans()), min_size=2, max_size=5))
 def test_maximal_repeats(parts):
+    """As by comparing all places; texts of which there are copies stand in the array once."""
     source = bytes(b"abcab"[(k * k // 3 + k // 7) % 5] for k in range(120))
     texts = [source[a : a + n] + (b"z" if odd else b"") for a, n, odd in parts]
     texts = [t[: suffix.WIDTH] for t in texts]
+    once = list(dict.fromkeys(texts))
+    copies = np.array([texts.count(t) > 1 for t in once], np.uint8)
+    found, text, start = suffix.maximal_repeats(once, np.array([texts.index(t) for t in once]), copies)
+    together = {once[int(text[lo])][int(start[lo]) :][:size]: low for size, lo, _, low in found}
+    assert together.keys() == repeats(texts).keys() and all(texts[low].find(x) >= 0 and not any(x in t for t in texts[:low]) for x, low in together.items())
     found, text, start = suffix.maximal_repeats(texts, np.arange(len(texts)))
     got = {}
     for size, lo, hi, low in found:
@@ -93,7 +156,7 @@ def test_maximal_repeats(parts):
 def test_anchors_cover_each_window_once(texts, seed):
     texts = [t.encode() * (seed + 1) for t in texts]
     s = anchors.as_bytes(texts, np.arange(len(texts)))
-    key, doc, a, b, _ = anchors.all_anchors(s)
+    key, doc, a, b = anchors.all_anchors(s)
     windows = sorted(w for x, y in zip(a.tolist(), b.tolist()) for w in range(x, y + 1))
     assert windows == [p for i, t in enumerate(texts) for p in range(int(s.start[i]), int(s.start[i]) + len(t) - anchors.WINDOW + 1)]
     # equal windows have equal anchors, at equal places
