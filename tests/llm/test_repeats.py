@@ -86,7 +86,10 @@ def test_a_hot_anchor_with_unlike_contexts_is_split(spark, monkeypatch):
     """Many documents share 24 bytes, each between other words: no shard gets them all."""
     r = np.random.default_rng(3)
     word = lambda: "".join(r.choice(list("abcdefghijklmnop"), 8))
-    rows = [(i, f"{' '.join(word() for _ in range(6))} the very same short line {' '.join(word() for _ in range(6))}") for i in range(300)]
+    # of many strings, the one with the least hash: it anchors nearly all windows that have it
+    least = lambda t: int(anchors.grams(np.frombuffer(t.encode(), np.uint8).astype(np.uint64) + np.uint64(1), anchors.GRAM)[0])
+    line = min((f"the same line {i:010d}" for i in range(3000)), key=least)
+    rows = [(i, f"{' '.join(word() for _ in range(6))} {line} {' '.join(word() for _ in range(6))}") for i in range(300)]
     s = anchors.as_bytes([t.encode() for _, t in rows], np.arange(300))
     key, doc, a, b = anchors.all_anchors(s)
     own, at, n = np.unique(key, return_inverse=True, return_counts=True)
