@@ -98,7 +98,7 @@ def test_a_hot_anchor_with_unlike_contexts_is_split(spark, monkeypatch):
     whole = anchors.contexts(s, flags)
     split = anchors.contexts(s, flags * (1 + 2 * (n >= 100)).astype(np.uint8))
     largest = lambda c: np.unique(c.key, return_counts=True)[1].max()
-    assert largest(whole) > 100 and largest(split) == 1 and len(split.key) <= len(whole.key) * anchors.REACH
+    assert largest(whole) > 100 and largest(split) < 100 and len(split.key) <= len(whole.key) * anchors.REACH
     monkeypatch.setattr(anchors, "HOT", 100)
     got = sorted(tuple(x) for x in suffix.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == sorted(brute(rows, bytes, bytes))
