@@ -1,36 +1,52 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit distance over words.
 
 A document is contaminated by an item if some stretch of it is within `edits` = (1 - similarity) * words
-of the item, in edits of words. An item cut into edits + 1 pieces keeps one piece whole in such a
-stretch, so item-sized windows are laid where a piece occurs, aligned by it; no stretch is without one.
-Windows and items then take random walks (Chakraborty, Goldenberg, Koucky, 2016): a walk of 3n steps
-puts out the word that it stands on and moves on or stays by a random bit of step and word, which maps
-k edits to O(k^2) differing outputs. A window is a candidate if in some of the walks the outputs at
-sampled steps equal the item's; enough walks are taken for the target recall. Candidates are verified by
-the exact edit distance of the item to the best stretch around the window.
+of the item, in edits of words. Random walks (Chakraborty, Goldenberg, Koucky, 2016) read items and
+documents: a step puts out the word that the walk stands on and moves on or stays by a random bit of step
+and word, so walks over strings that differ by few edits soon put out the same again. A key has the outputs at
+sampled steps of one walk; windows of documents that share a key with an item are candidates. Windows start
+at every word of a document and at every word of an item: with a fifth of the words edited, walks over a
+whole item have little in common, and those over STEPS steps from some word of it nearly always have.
+WALKS walks reach the target recall (README has measurements). Items of fewer than SHORT words are found
+without loss: cut into edits + 1 pieces, one of which every stretch within the distance has whole, they are
+read straight on.
+
+Nothing grows on the driver. Keys of items are rows; a *sieve*, a bitmap of at most MOST_BITS bits, holds
+the hashes of all keys and of their beginnings, and a window whose reading leaves it is dropped at once. What
+passes becomes *regions*, stretches of documents with all that candidates need, which are saved; keys are
+joined by Spark, and each pair of a region and an item is verified by the exact edit distance of the item to
+the best stretch.
 
 Words are lower-cased (A-Z) and lose ASCII punctuation at both ends; words of punctuation alone go.
-Items of fewer than MIN_WORDS words match nothing.
 """
 
 from __future__ import annotations
 
 import string
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from . import common as C
+from . import graph
 
 SCHEMA = "doc_id long, item_id long, first_word long, n_words int, distance int, similarity double"
-MIN_WORDS = 5
-#: Bytes of items that are broadcast at once; more items are looked for in as many passes.
-ITEM_BYTES = 16_000_000
-WALKS, SAMPLED = 48, 2
+#: Walks, steps of each, and how many of them are sampled for its key.
+WALKS, STEPS, SAMPLED = 8, 14, 10
+#: Words from which on items are looked for by walks, and below which by pieces.
+SHORT = 20
+#: The sieve has SIEVE_BITS bits for each key or beginning of a key, and MOST_BITS at most; a part of it has PART_BITS.
+SIEVE_BITS, MOST_BITS, PART_BITS = 16, 1 << 28, 1 << 16
+#: Rows and bytes of items up to which they are broadcast to be joined; beyond, both sides are shuffled.
+MOST_KEYS, MOST_BYTES = 200_000, 16_000_000
+#: Cells of the distance table that are worked on at once.
+CELLS = 1_000_000
 _PUNCTUATION = string.punctuation.encode()
+_ONE = 1 << 32  # an edit; the lower half has where the stretch begins
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -44,179 +60,255 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return to[real], total[ends] - total[ends - sizes], list(seen)
 
 
+def hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(hash of each word, words a text, word ids, distinct words)."""
+    ids, sizes, names = tokens(texts)
+    return np.array([xxh64_intdigest(w) for w in names] or [0], C.U64)[ids], sizes, ids, names
+
+
+def distances(items: list[np.ndarray], parts: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """(edits, from, to) of the stretch of each part nearest to its item; the first and shortest of equals."""
+    out: list[tuple[int, int, int]] = [(0, 0, 0)] * len(items)
+    order = sorted(range(len(items)), key=lambda i: (len(items[i]), len(parts[i])))
+    at = 0
+    while at < len(order):
+        step = max(1, CELLS // (1 + max(len(parts[i]) for i in order[at : at + 512])))
+        some = order[at : at + min(512, step)]
+        at += len(some)
+        n, m = (np.array([len(x[i]) for i in some]) for x in (items, parts))
+        item, part = np.full((len(some), n.max()), -1), np.full((len(some), m.max()), -2)
+        for row, i in enumerate(some):
+            item[row, : n[row]], part[row, : m[row]] = items[i], parts[i]
+        places = np.arange(m.max() + 1)
+        cost = np.broadcast_to(places, (len(some), len(places))).copy()
+        for i in range(item.shape[1]):
+            new = cost + _ONE
+            np.minimum(new[:, 1:], cost[:, :-1] + (item[:, i, None] != part) * _ONE, out=new[:, 1:])
+            new[:, 0] = (i + 1) * _ONE
+            new = np.minimum.accumulate(new - places * _ONE, axis=1) + places * _ONE
+            cost = np.where((i < n)[:, None], new, cost)
+        cost[places > m[:, None]] = np.iinfo(np.int64).max
+        best = cost.argmin(1)
+        for row, (i, j) in enumerate(zip(some, best.tolist(), strict=True)):
+            edits, begin = divmod(int(cost[row, j]), _ONE)
+            out[i] = (edits, begin, j)
+    return out
+
+
 def distance(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
-    """(edits, from, to) of the stretch of `part` nearest to the item; the first and shortest of equals."""
-    m = len(part)
-    cost, begin = [0] * (m + 1), list(range(m + 1))
-    part = part.tolist()
-    for i, w in enumerate(item.tolist(), 1):
-        row, frm = [i] + [0] * m, [0] * (m + 1)
-        for j in range(1, m + 1):
-            best, at = cost[j - 1] + (w != part[j - 1]), begin[j - 1]
-            if cost[j] + 1 < best:
-                best, at = cost[j] + 1, begin[j]
-            if row[j - 1] + 1 < best:
-                best, at = row[j - 1] + 1, frm[j - 1]
-            row[j], frm[j] = best, at
-        cost, begin = row, frm
-    j = min(range(m + 1), key=lambda j: (cost[j], begin[j], j))
-    return cost[j], begin[j], j
-
-
-@dataclass
-class Items:
-    """Benchmark items with their pieces and the sampled outputs of their walks."""
-
-    item_id: np.ndarray
-    similarity: float
-    vocabulary: dict[bytes, int]
-    word: np.ndarray
-    start: np.ndarray
-    edits: np.ndarray
-    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # words a piece -> (hash, item, place in it)
-    keys: np.ndarray  # (items, walks, sampled)
-
-    @classmethod
-    def of(cls, ids: list[int], texts: list[bytes], similarity: float) -> Items:
-        word, sizes, names = tokens(texts)
-        start = np.concatenate(([0], np.cumsum(sizes)))
-        edits = np.floor((1 - similarity) * sizes + 1e-9).astype(np.int64)
-        pieces: dict[int, list] = {}
-        for i, (n, k) in enumerate(zip(sizes.tolist(), edits.tolist(), strict=True)):
-            if n >= MIN_WORDS:
-                size = n // (k + 1)
-                for j in range(k + 1):
-                    piece = word[start[i] + j * size : start[i] + (j + 1) * size]
-                    pieces.setdefault(size, []).append((_gram(piece, size)[0], i, j * size))
-        table = {}
-        for size, rows in pieces.items():
-            rows.sort()
-            table[size] = (np.array([r[0] for r in rows], C.U64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
-        self = cls(np.array(ids, np.int64), similarity, {w: i for i, w in enumerate(names)}, word, start, edits, table, np.empty(0))
-        every = np.arange(len(ids))
-        self.keys = self.walk(word, start[:-1], every)
-        return self
-
-    def walk(self, word: np.ndarray, at: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Outputs at the sampled steps of all walks over windows word[at : at + words of the item]."""
-        n = (self.start[1:] - self.start[:-1])[item]
-        random = np.random.default_rng(20240229)
-        seeds = random.integers(0, 1 << 63, (WALKS, 1), dtype=np.uint64)
-        share = np.sort(random.random((WALKS, SAMPLED)), axis=1)
-        out = np.full((len(at), WALKS, SAMPLED), -3, np.int64)
-        place = np.zeros((len(at), WALKS), np.int64)
-        stop = np.minimum(n, np.maximum(len(word) - at, 0))
-        want = (share[None] * (3 * n)[:, None, None]).astype(np.int64)
-        for step in range(3 * int(n.max(initial=0))):
-            inside = place < stop[:, None]
-            now = np.where(inside, word[np.minimum(at[:, None] + place, max(0, len(word) - 1))] if len(word) else -2, -2)  # -2: past the end
-            for s in range(SAMPLED):
-                hit = want[:, :, s] == step
-                out[:, :, s][hit] = now[hit]
-            bit = C.mixed((now + 3).astype(C.U64) * C.U64(C.MULTIPLIER) + seeds.T + C.U64(step * 0x94D049BB133111EB % (1 << 64))) >> C.U64(63)
-            place += bit.astype(np.int64) & inside
+    return distances([item], [part])[0]
+
+
+class Reader:
+    """Reads words from a place: a walk that moves on or stays by random bits, or straight on for `steps` words."""
+
+    def __init__(self, steps: int, walk: int | None = None):
+        r = np.random.default_rng((20240229, steps if walk is None else 1000 + walk))
+        self.steps, self.seed = steps, C.U64(r.integers(1, 1 << 63))
+        self.odd = None if walk is None else r.integers(0, 1 << 62, steps).astype(C.U64) * C.U64(2) + C.U64(1)
+        sampled = range(steps) if walk is None else [0, *(1 + r.choice(steps - 1, SAMPLED - 1, replace=False))]
+        self.sampled = np.isin(np.arange(steps), list(sampled))
+
+    def read(self, word: np.ndarray, starts: np.ndarray, ends: np.ndarray, sieve: np.ndarray | None = None, beginnings: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, keys) of the readings that stay before their `ends` and in the sieve; `beginnings` gets the keys of all sampled steps."""
+        at, key = starts, np.full(len(starts), self.seed)
+        for step in range(self.steps):
+            inside = at < ends
+            if not inside.all():
+                at, starts, ends, key = at[inside], starts[inside], ends[inside], key[inside]
+            now = word[at]
+            if self.sampled[step]:
+                key = (key ^ now) * C.U64(C.MULTIPLIER)
+                key ^= key >> C.U64(29)
+                if beginnings is not None:
+                    beginnings.append(key)
+                if sieve is not None:
+                    keep = passes(sieve, key)
+                    at, starts, ends, key, now = at[keep], starts[keep], ends[keep], key[keep], now[keep]
+            if step + 1 < self.steps:
+                at = at + 1 if self.odd is None else at + ((now * self.odd[step]) >> C.U64(63)).astype(np.int64)
+        return starts, key
+
+
+def bits_of(key: np.ndarray, size: int) -> np.ndarray:
+    """Where a key's bit is in a sieve of `size` bits, a power of two."""
+    return (C.mixed(key) >> C.U64(65 - size.bit_length())).astype(np.int64)
+
+
+def passes(sieve: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = bits_of(key, 8 * len(sieve))
+    return np.flatnonzero((sieve[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+
+
+def edits_of(words, similarity: float):
+    return np.floor((1 - similarity) * words + 1e-9).astype(np.int64)
+
+
+def item_keys(word: np.ndarray, similarity: float, beginnings: list[np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words a piece or 0, offsets, keys) of one item, by each reader that looks for it."""
+    n = len(word)
+    if n >= SHORT:
+        for walk in range(WALKS):
+            starts, key = Reader(STEPS, walk).read(word, np.arange(n), np.full(n, n), beginnings=beginnings)
+            yield 0, starts, key
+    elif n:
+        pieces = int(edits_of(n, similarity)) + 1
+        size = n // pieces
+        starts, key = Reader(size).read(word, np.arange(pieces) * size, np.full(pieces, n), beginnings=beginnings)
+        yield size, starts, key
+
+
+def _batches(tables, rows: int = 2000):
+    for t in C.slices(tables, rows):
+        texts = C.encoded(pa.chunked_array([t.column("text")]))
+        yield (t, *hashes(texts))
+
+
+class Index:
+    """The keys of all items as rows, their sieve, and what else readers of documents have to know of them."""
+
+    def __init__(self, benchmark: DataFrame, similarity: float):
+        C.ship(benchmark.sparkSession)
+        items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), F.coalesce(benchmark["text"].cast("string"), F.lit("")).alias("text"))
+        self.items = items.where("item_id IS NOT NULL").distinct().withColumn("item", F.xxhash64("item_id", "text"))
+        self.similarity = similarity
+
+        def keys(tables):
+            for t, word, sizes, _, _ in _batches(tables):
+                out = {"key": [], "item": [], "offset": [], "n": [], "piece": []}
+                for item, w in zip(t.column("item").to_pylist(), np.split(word, np.cumsum(sizes)[:-1]), strict=True):
+                    for size, starts, key in item_keys(w, similarity):
+                        for name, value in (("key", key.view(np.int64)), ("offset", starts), ("item", np.full(len(key), item)), ("n", np.full(len(key), len(w))), ("piece", np.full(len(key), size))):
+                            out[name].append(value)
+                yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(v) if v else np.empty(0, np.int64), pa.int64()) for k, v in out.items()})
+
+        self.keys = graph.saved(self.items.mapInArrow(keys, "key long, item long, offset long, n long, piece long"))
+        found = self.keys.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.max("n"), F.lit(0)).alias("longest"), F.collect_set("piece").alias("pieces")).first()
+        size = self.items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
+        self.few_keys, self.small, self.longest = found["keys"] <= MOST_KEYS, size <= MOST_BYTES, int(found["longest"])
+        self.walks, self.pieces = 0 in found.pieces, sorted(set(found.pieces) - {0})  # pieces have less than SHORT words
+        self.sieve = self._sieve(found["keys"])
+
+    def _sieve(self, keys: int) -> np.ndarray:
+        size = PART_BITS
+        while size < min(MOST_BITS, SIEVE_BITS * SAMPLED * keys):
+            size *= 2
+        similarity = self.similarity
+
+        def bits(tables):
+            for t, word, sizes, _, _ in _batches(tables):
+                beginnings: list[np.ndarray] = []
+                for w in np.split(word, np.cumsum(sizes)[:-1]):
+                    for _ in item_keys(w, similarity, beginnings):
+                        pass
+                at = np.unique(bits_of(np.concatenate(beginnings), size)) if beginnings else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_pydict({"part": at // PART_BITS, "bit": at % PART_BITS})
+
+        def join(table: pa.Table) -> pa.Table:
+            own = np.zeros(PART_BITS, np.uint8)
+            own[table["bit"].to_numpy()] = 1
+            return pa.table({"part": [table["part"][0].as_py()], "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+
+        out = np.zeros(size // 8, np.uint8)
+        # a row for each part: MOST_BITS at most in all
+        for r in self.items.mapInArrow(bits, "part long, bit long").distinct().groupBy("part").applyInArrow(join, "part long, bits binary").collect():
+            out[r.part * PART_BITS // 8 : (r.part + 1) * PART_BITS // 8] = np.frombuffer(r.bits, np.uint8)
         return out
 
-    def matches(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, first word, words, edits) of each text and item within reach: the best stretch."""
-        ids, sizes, names = tokens(texts)
-        known = np.array([self.vocabulary.get(w, -1) for w in names] or [-1], np.int64)[ids]
-        start = np.concatenate(([0], np.cumsum(sizes)))
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        windows = set()
-        for size, (keys, item, place) in self.pieces.items():
-            if len(known) < size:
-                continue
-            n = len(known) - size + 1
-            at = np.flatnonzero((known >= 0)[:n])
-            for j in range(1, size):
-                at = at[known[at + j] >= 0]
-            at = at[doc[at] == doc[at + size - 1]]
-            h = _gram_at(known, at, size)
-            lo, hi = np.searchsorted(keys, h), np.searchsorted(keys, h, side="right")
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                windows.update((int(doc[p]), int(item[x]), p - int(place[x])) for x in range(a, b))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        ordered = sorted(windows)
-        for lo in range(0, len(ordered), 500):
-            part = ordered[lo : lo + 500]
-            d, i, at = (np.array(x) for x in zip(*part, strict=True))
-            begin = np.maximum(at, start[d])
-            near = (self.walk(known, begin, i) == self.keys[i]).all(2).any(1)
-            for d, i, at in [w for w, ok in zip(part, near.tolist(), strict=True) if ok]:
-                item, k = self.word[self.start[i] : self.start[i + 1]], int(self.edits[i])
-                a, b = max(int(start[d]), at - k), min(int(start[d + 1]), at + len(item) + k)
-                cost, x, y = distance(item, known[a:b])
-                if cost <= k:
-                    found = (cost, a + x - int(start[d]), y - x)
-                    best[d, i] = min(best.get((d, i), found), found)
-        return [(d, i, first, n, cost) for (d, i), (cost, first, n) in sorted(best.items())]
-
-
-def _gram(word: np.ndarray, size: int) -> np.ndarray:
-    return _gram_at(word, np.arange(len(word) - size + 1), size)
-
-
-def _gram_at(word: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    h = np.zeros(len(at), C.U64)
-    for j in range(size):
-        h = C.mixed(h * C.U64(C.MULTIPLIER) + (word[at + j] + 1).astype(C.U64))
-    return h
-
-
-def load(benchmark: DataFrame, similarity: float) -> list[Items]:
-    """The items in groups of at most about ITEM_BYTES; null texts are empty."""
-    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), F.coalesce(benchmark["text"].cast("string"), F.lit("")).alias("text"))
-    _, size = C.text_size(items)
-    groups = max(1, -(-size // ITEM_BYTES))
-    out = []
-    for g in range(groups):
-        rows = sorted(items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).distinct().collect(), key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
-        rows = [r for r in rows if r.item_id is not None]
-        if rows:
-            out.append(Items.of([r.item_id for r in rows], [r.text.encode() for r in rows], similarity))
-    return out
+    def readers(self) -> list[Reader]:
+        return [Reader(STEPS, w) for w in range(WALKS * self.walks)] + [Reader(size) for size in self.pieces]
+
+    def hits(self, word: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, keys) of the windows that pass the sieve."""
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        starts = np.arange(len(word))
+        found = [r.read(word, starts, ends, self.sieve) for r in self.readers()]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, C.U64))
+
+    def regions(self, docs: DataFrame) -> DataFrame:
+        """(region, doc, doc_id, text_hash, first, words, keys, places): stretches of documents around windows that passed."""
+        reach = self.longest + int(edits_of(self.longest, self.similarity))
+        index = Index.__new__(Index)
+        index.__dict__ = {k: getattr(self, k) for k in ("similarity", "walks", "pieces", "sieve")}
+
+        def batch(tables):
+            for t, word, sizes, ids, names in _batches(tables):
+                at, key = index.hits(word, sizes)
+                order = np.lexsort((key, at))
+                at, key = at[order], key[order]
+                doc = np.repeat(np.arange(len(sizes)), sizes)[at]
+                new = np.flatnonzero(np.concatenate(([True], (np.diff(at) > 2 * reach) | (np.diff(doc) > 0)))) if len(at) else np.empty(0, np.int64)
+                begin, rows, top = np.cumsum(sizes) - sizes, [], len(at)
+                for lo, hi in zip(new.tolist(), [*new[1:].tolist(), top], strict=False):
+                    d = int(doc[lo])
+                    a, b = max(int(begin[d]), int(at[lo]) - reach), min(int(begin[d] + sizes[d]), int(at[hi - 1]) + reach)
+                    rows.append((d, a - int(begin[d]), b" ".join([names[i] for i in ids[a:b].tolist()]), key[lo:hi].view(np.int64), at[lo:hi] - a))
+                own = pa.array([r[0] for r in rows], pa.int64())
+                yield pa.RecordBatch.from_pydict({
+                    **{c: t.column(c).take(own) for c in ("doc", "doc_id", "text_hash")}, "first": pa.array([r[1] for r in rows], pa.int64()), "words": pa.array([r[2] for r in rows], pa.binary()),
+                    "keys": pa.array([r[3] for r in rows], pa.list_(pa.int64())), "places": pa.array([r[4] for r in rows], pa.list_(pa.int64())),
+                })
+
+        rows = docs.withColumn("doc", F.monotonically_increasing_id()).withColumn("text_hash", F.xxhash64("text"))
+        found = rows.mapInArrow(batch, "doc long, doc_id long, text_hash long, first long, words binary, keys array<long>, places array<long>")
+        # saved: regions keep their numbers whatever is lost
+        return graph.saved(found.withColumn("region", F.monotonically_increasing_id()))
+
+    def matches(self, docs: DataFrame) -> DataFrame:
+        """(doc, doc_id, text_hash, item_id, n, first_word, n_words, distance): the best stretch of each document and item within reach."""
+        regions, similarity = self.regions(docs), self.similarity
+        keys = regions.select("region", F.explode(F.arrays_zip("keys", "places")).alias("e")).select("region", F.col("e.keys").alias("key"), F.col("e.places").alias("place"))
+        known = self.keys.select("key", "item", "offset", "n")
+        start = F.col("place") - F.col("offset")
+        pairs = keys.join(F.broadcast(known) if self.few_keys else known, "key").groupBy("region", "item").agg(F.min(start).alias("low"), F.max(start).alias("high"))
+        items = self.items.select("item", "item_id", F.col("text").alias("item_text"))
+        rows = pairs.join(regions.select("region", "doc", "doc_id", "text_hash", "first", "words"), "region").join(F.broadcast(items) if self.small else items, "item")
+
+        def verify(tables):
+            for t in C.slices(tables, 500):
+                texts = C.encoded(pa.chunked_array([t.column("item_text")]))
+                of = {x: i for i, x in enumerate(dict.fromkeys(texts))}
+                _, item_sizes, item_ids, names = hashes(list(of))
+                number = {w: i for i, w in enumerate(names)}
+                ends = np.cumsum(item_sizes)
+                items, parts, base = [], [], []
+                for x, words, low, high in zip(texts, t.column("words").to_pylist(), t.column("low").to_pylist(), t.column("high").to_pylist(), strict=True):
+                    i = of[x]
+                    n = int(item_sizes[i])
+                    k = int(edits_of(n, similarity))
+                    # the stretch that a window lies in begins and ends at most k words beside the item's place
+                    cut = words.split(b" ")[max(0, low - k) : high + n + k]
+                    items.append(item_ids[ends[i] - n : ends[i]])
+                    parts.append(np.array([number.get(w, -1 - len(names)) for w in cut], np.int64))
+                    base.append(max(0, low - k))
+                best = distances(items, parts)
+                keep = [j for j, (cost, _, _) in enumerate(best) if cost <= edits_of(len(items[j]), similarity)]
+                own = pa.array(keep, pa.int64())
+                first = np.array([base[j] + best[j][1] for j in keep], np.int64) + t.column("first").take(own).to_numpy()
+                yield pa.RecordBatch.from_pydict({
+                    **{c: t.column(c).take(own) for c in ("doc", "doc_id", "text_hash", "item", "item_id")}, "n": pa.array([len(items[j]) for j in keep], pa.int32()), "first_word": pa.array(first, pa.int64()),
+                    "n_words": pa.array([best[j][2] - best[j][1] for j in keep], pa.int32()), "distance": pa.array([best[j][0] for j in keep], pa.int32()),
+                })
+
+        found = rows.mapInArrow(verify, "doc long, doc_id long, text_hash long, item long, item_id long, n int, first_word long, n_words int, distance int")
+        best = found.groupBy("doc", "item").agg(F.min(F.struct("distance", "first_word", "n_words", "n", "doc_id", "text_hash", "item_id")).alias("b"))
+        return best.select("doc", "b.*")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
     """A row for each contaminated document and item: where the best stretch is and how near.
 
-    Clean documents give no row; null or empty texts match nothing. Repeated rows each give theirs;
-    an item_id that has several texts counts each. Items without an id are left out.
+    Clean documents give no row; null or empty texts match nothing, and items without words neither. Repeated
+    rows each give theirs; an item_id that has several texts counts each. Items without an id are left out.
+    Of equally near stretches the first counts, and of those the shortest. Texts of any length are whole. No rows, or no items,
+    give no rows. Other columns are left behind, whatever their names.
     """
-    out = None
-    docs = C.documents(docs)
-    for items in load(benchmark, similarity) or [Items.of([], [], similarity)]:
-
-        def batch(tables, items=items):
-            for t in tables:
-                texts, ids = C.encoded(pa.chunked_array([t.column("text")])), t.column("doc_id").to_pylist()
-                for lo in range(0, len(texts), 2000):
-                    rows = items.matches(texts[lo : lo + 2000])
-                    length = np.diff(items.start)
-                    yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array([ids[lo + r[0]] for r in rows], pa.int64()), "item_id": pa.array([int(items.item_id[r[1]]) for r in rows], pa.int64()), "first_word": pa.array([r[2] for r in rows], pa.int64()),
-                        "n_words": pa.array([r[3] for r in rows], pa.int32()), "distance": pa.array([r[4] for r in rows], pa.int32()), "similarity": pa.array([1 - r[4] / int(length[r[1]]) for r in rows], pa.float64()),
-                    })
-
-        found = docs.mapInArrow(batch, SCHEMA)
-        out = found if out is None else out.unionAll(found)
-    return out
-
-
-def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
-    """The rows without a match, with all their columns."""
-    C.ship(docs.sparkSession)
-    schema = docs.schema
-    for items in load(benchmark, similarity):
+    found = Index(benchmark, similarity).matches(C.documents(docs))
+    return found.select("doc_id", "item_id", "first_word", "n_words", "distance", (1 - F.col("distance") / F.col("n")).alias("similarity"))
 
-        def batch(tables, items=items):
-            for t in tables:
-                for lo in range(0, t.num_rows, 2000):
-                    part = t.slice(lo, 2000)
-                    keep = np.ones(part.num_rows, bool)
-                    keep[[r[0] for r in items.matches(C.encoded(pa.chunked_array([part.column(text_col)])))]] = False
-                    yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(batch, schema)
-    return docs
+def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """The rows without a match, with all their columns; the same cases as in find()."""
+    found = Index(benchmark, similarity).matches(C.documents(docs)).select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__text_hash"))
+    return docs.join(found, same, "left_anti")

@@ -154,45 +154,130 @@ def test_fingerprints(docs, rows, empty, monkeypatch):
     assert alone.near_next == 1.0
 
 
+def plain(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
 def test_distance():
     r = np.random.default_rng(5)
+    items, parts = [r.integers(0, 4, r.integers(1, 8)) for _ in range(60)], [r.integers(0, 4, r.integers(0, 10)) for _ in range(60)]
+    for item, part, (cost, a, b) in zip(items, parts, decontam.distances(items, parts)):
+        every = [(plain(item.tolist(), part[x:y].tolist()), x, y) for x in range(len(part) + 1) for y in range(x, len(part) + 1)]
+        assert (cost, a, b) == min(every)
+        assert decontam.distance(item, part) == (cost, a, b)
+
+
+def normal(text):
+    return [x for w in (text or "").lower().split() if (x := w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))]
+
 
-    def plain(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, old = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
-        return row[-1]
-
-    for _ in range(60):
-        item, part = r.integers(0, 4, r.integers(1, 8)), r.integers(0, 4, r.integers(0, 10))
-        cost, a, b = decontam.distance(item, part)
-        every = [plain(item.tolist(), part[x:y].tolist()) for x in range(len(part) + 1) for y in range(x, len(part) + 1)]
-        assert cost == min(every) == plain(item.tolist(), part[a:b].tolist())
-
-
-def test_decontamination(spark, docs, empty):
-    r = np.random.default_rng(6)
-    word = lambda: "".join(r.choice(list("abcdefgh"), r.integers(2, 8)))
-    items = [" ".join(word() for _ in range(n)) for n in (12, 20, 35, 60, 8)] + ["of the", None, ""]
-    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(None, "a b c d e f"), (0, items[0])], "item_id long, text string")
-    made, planted = [], set()
-    for i in range(60):
-        item = int(r.integers(0, 5))
-        w = items[item].split()
-        for _ in range(int(len(w) * 0.2 * r.random())):
-            k = int(r.integers(0, len(w)))
-            w[k : k + 1] = [[word()], [], [w[k], word()]][int(r.integers(0, 3))]
-        around = [word() for _ in range(25)]
-        made.append((i, " ".join(around + [x.upper() if i % 2 else x + "," for x in w] + around)))
-        planted.add((i, item))
-    made += [(100 + i, " ".join(word() for _ in range(200))) for i in range(40)] + [(200, None), (201, ""), (202, "of the"), (None, items[1])]
-    table = spark.createDataFrame(made, "doc_id long, text string").selectExpr("*", "doc_id AS item_id")
-    found = decontam.find(table, bench).collect()
-    got = {(x.doc_id, x.item_id) for x in found}
-    assert len(got & planted) >= 0.98 * len(planted) and {d for d, _ in got - planted} <= {None}
-    assert all(x.similarity >= 0.8 and x.distance >= 0 for x in found)
-    kept = {x.doc_id for x in decontam.keep_clean(table, bench).collect()}
-    assert kept == {i for i, _ in made} - {d for d, _ in got}
-    assert decontam.find(empty, bench).collect() == [] and decontam.find(table, bench.where("false")).collect() == [] and decontam.keep_clean(docs, bench.where("false")).count() == docs.count()
+def brute(docs, items, similarity=0.8):
+    """(place of the document, place of the item, first word, words, edits), by every stretch of every document: a row
+    of the table of distances to stretches that end at each word, and all that begin where the least does."""
+    out = []
+    for d, text in enumerate(docs):
+        words = normal(text)
+        for i, item in enumerate(items):
+            item = normal(item)
+            k = int((1 - similarity) * len(item) + 1e-9)
+            row = [(0, j) for j in range(len(words) + 1)]  # (edits, where the stretch begins)
+            for n, x in enumerate(item, 1):
+                old, row = row, [(n, 0)]
+                for j, y in enumerate(words, 1):
+                    row.append(min((old[j][0] + 1, old[j][1]), (row[-1][0] + 1, row[-1][1]), (old[j - 1][0] + (x != y), old[j - 1][1])))
+            if item and (best := min((*x, j) for j, x in enumerate(row)))[0] <= k:
+                out.append((d, i, best[1], best[2] - best[1], best[0]))
+    return out
+
+
+def letters(r):
+    return "".join(r.choice(list("abcdefgh"), r.integers(2, 8)))
+
+
+def changed(r, words, k):
+    w = list(words)
+    for _ in range(k):
+        i = int(r.integers(0, len(w)))
+        w[i : i + 1] = [[letters(r)], [], [w[i], letters(r)]][int(r.integers(0, 3))]
+    return w
+
+
+def contaminated(r):
+    """Items of one word and more, and documents with stretches at all distances, most of them near the limit."""
+    items = [" ".join(letters(r) for _ in range(n)) for n in (1, 2, 4, 5, 9, 12, 19, 20, 27, 40, 60, 130)]
+    docs = []
+    for i in range(150):
+        w = items[int(r.integers(0, len(items)))].split()
+        around = [letters(r) for _ in range(25)]
+        stretch = changed(r, w, int(r.integers(0, len(w) // 5 + 2)))
+        docs.append(" ".join(around[: int(r.integers(0, 25))] + [x.upper() if i % 2 else x + "," for x in stretch] + around[: int(r.integers(0, 25))]))
+    return items, docs + [" ".join(letters(r) for _ in range(200)) for _ in range(40)] + ["", " , ", " ".join([*docs[:8], *docs[3:40]])]
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_decontamination(spark, monkeypatch, few):
+    """Against every stretch of every document: nothing but what is there, and nearly all of it; short items without loss."""
+    monkeypatch.setattr(decontam, "MOST_KEYS", few)
+    monkeypatch.setattr(decontam, "MOST_BYTES", few)
+    items, docs = contaminated(np.random.default_rng(6))
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(None, "a b c d e f"), (0, items[0]), (90, None), (91, ""), (92, " .. ")], "item_id long, text string")
+    rows = [(i, t) for i, t in enumerate(docs)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("*", "doc_id AS item_id", "'x' AS key", "1 AS region", "text AS words")
+    got = {tuple(x)[:5]: x.similarity for x in decontam.find(table, bench).collect()}
+    want = brute(docs, items)
+    assert set(got) <= set(want) and all(s == 1 - d / len(items[i].split()) for (_, i, _, _, d), s in got.items())
+    short = {i for i, t in enumerate(items) if len(t.split()) < decontam.SHORT}
+    assert {w for w in want if w[1] in short} <= set(got)
+    long_ = [w for w in want if w[1] not in short]
+    assert len(long_) > 60 and len(set(long_) & set(got)) >= 0.9 * len(long_)
+    kept = decontam.keep_clean(table, bench)
+    assert kept.columns == table.columns and {x.doc_id for x in kept.collect()} == set(range(len(docs))) - {w[0] for w in got}
+
+
+def test_recall_of_the_walks():
+    """With as many edits as there may be, at random places; evenly spread ones are the hardest."""
+    r, readers = np.random.default_rng(12), [decontam.Reader(decontam.STEPS, w) for w in range(decontam.WALKS)]
+
+    def met(a, b):
+        keys = [[x.read(w, np.arange(len(w)), np.full(len(w), len(w)))[1] for x in readers] for w in (a, b)]
+        return any(np.isin(x, y).any() for x, y in zip(*keys))
+
+    for n in (20, 38, 58, 200):
+        random = even = unlike = 0
+        for _ in range(100):
+            item = r.integers(1, 1 << 62, n).astype(np.uint64)
+            edited_ = np.array(changed_ids(r, item, n // 5), np.uint64)
+            spread = item.copy()
+            spread[np.linspace(0, n - 1, n // 5 + 2)[1:-1].astype(int)] = r.integers(1, 1 << 62, n // 5)
+            random, even = random + met(item, edited_), even + met(item, spread)
+            unlike += met(item, r.integers(1, 1 << 62, n).astype(np.uint64))
+        assert random >= 97 and even >= 90 and unlike == 0
+
+
+def changed_ids(r, words, k):
+    w = words.tolist()
+    for _ in range(k):
+        i = int(r.integers(0, len(w)))
+        w[i : i + 1] = [[int(r.integers(1, 1 << 62))], [], [w[i], int(r.integers(1, 1 << 62))]][int(r.integers(0, 3))]
+    return w
+
+
+def test_decontamination_of_odd_rows(spark, docs, rows, empty):
+    """Nulls, repeats, one id with several texts, a very long text, no rows, no items."""
+    item = " ".join(rows[8][1].split()[:25])
+    bench = spark.createDataFrame([(1, item), (1, "one"), (2, rows[40][1])], "item_id long, text string")
+    found = sorted([(x.doc_id, x.item_id, x.distance) for x in decontam.find(docs, bench).collect()], key=str)
+    want = [(rows[d][0], (1, 1, 2)[i], cost) for d, i, _, _, cost in brute([t for _, t, *_ in rows], [item, "one", rows[40][1]])]
+    assert found == sorted(want, key=str) and len(found) > 5
+    hit = {(rows[d][0], rows[d][1]) for d, *_ in brute([t for _, t, *_ in rows], [item, "one", rows[40][1]])}
+    kept = sorted([(x.doc_id, x.text) for x in decontam.keep_clean(docs, bench).collect()], key=str)
+    assert kept == sorted([r[:2] for r in rows if tuple(r[:2]) not in hit], key=str)
+    long_ = spark.createDataFrame([(1, f"{'x ' * 200_000}{item}{' y' * 200_000}"), (2, "z" * 1_000_000)], "doc_id long, text string")
+    assert [(x.doc_id, x.first_word, x.distance) for x in decontam.find(long_, bench).collect()] == [(1, 200_000, 0)]
+    nothing = bench.where("false")
+    assert decontam.find(empty, bench).collect() == [] and decontam.find(docs, nothing).collect() == [] and decontam.keep_clean(empty, bench).collect() == [] and decontam.keep_clean(docs, nothing).count() == len(rows)
