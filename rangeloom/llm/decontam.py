@@ -271,19 +271,23 @@ class Index:
                 _, item_sizes, item_ids, names = hashes(list(of))
                 number = {w: i for i, w in enumerate(names)}
                 ends = np.cumsum(item_sizes)
-                items, parts, base = [], [], []
-                for x, words, low, high in zip(texts, t.column("words").to_pylist(), t.column("low").to_pylist(), t.column("high").to_pylist(), strict=True):
+                items, parts, base, rows = [], [], [], []
+                for row, (x, words, low, high) in enumerate(zip(texts, t.column("words").to_pylist(), t.column("low").to_pylist(), t.column("high").to_pylist(), strict=True)):
                     i = of[x]
                     n = int(item_sizes[i])
                     k = int(edits_of(n, similarity))
                     # the stretch that a window lies in begins and ends at most k words beside the item's place
                     cut = words.split(b" ")[max(0, low - k) : high + n + k]
-                    items.append(item_ids[ends[i] - n : ends[i]])
+                    item, there = item_ids[ends[i] - n : ends[i]], {number[w] for w in set(cut) if w in number}
+                    if sum(map(there.__contains__, item.tolist())) < n - k:
+                        continue  # each word that isn't there is an edit
+                    items.append(item)
                     parts.append(np.array([number.get(w, -1 - len(names)) for w in cut], np.int64))
                     base.append(max(0, low - k))
+                    rows.append(row)
                 best = distances(items, parts)
                 keep = [j for j, (cost, _, _) in enumerate(best) if cost <= edits_of(len(items[j]), similarity)]
-                own = pa.array(keep, pa.int64())
+                own = pa.array([rows[j] for j in keep], pa.int64())
                 first = np.array([base[j] + best[j][1] for j in keep], np.int64) + t.column("first").take(own).to_numpy()
                 yield pa.RecordBatch.from_pydict({
                     **{c: t.column(c).take(own) for c in ("doc", "doc_id", "text_hash", "item", "item_id")}, "n": pa.array([len(items[j]) for j in keep], pa.int32()), "first_word": pa.array(first, pa.int64()),
