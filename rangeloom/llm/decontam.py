@@ -109,6 +109,11 @@ class Reader:
         sampled = range(steps) if walk is None else [0, *(1 + r.choice(steps - 1, SAMPLED - 1, replace=False))]
         self.sampled = np.isin(np.arange(steps), list(sampled))
 
+    def first(self, word: np.ndarray) -> np.ndarray:
+        """The beginning of the key after each word: the first step is always sampled."""
+        key = (self.seed ^ word) * C.U64(C.MULTIPLIER)
+        return key ^ (key >> C.U64(29))
+
     def read(self, word: np.ndarray, starts: np.ndarray, ends: np.ndarray, sieve: np.ndarray | None = None, beginnings: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(starts, keys) of the readings that stay before their `ends` and in the sieve; `beginnings` gets the keys of all sampled steps."""
         at, key = starts, np.full(len(starts), self.seed)
@@ -218,11 +223,15 @@ class Index:
     def readers(self) -> list[Reader]:
         return [Reader(STEPS, w) for w in range(WALKS * self.walks)] + [Reader(size) for size in self.pieces]
 
-    def hits(self, word: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, keys) of the windows that pass the sieve."""
+    def hits(self, word: np.ndarray, sizes: np.ndarray, ids: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, keys) of the windows that pass the sieve; `distinct` has the hashes of the words that `ids` number."""
         ends = np.repeat(np.cumsum(sizes), sizes)
-        starts = np.arange(len(word))
-        found = [r.read(word, starts, ends, self.sieve) for r in self.readers()]
+        found = []
+        for r in self.readers():
+            opens = np.zeros(len(distinct), bool)  # words that a key may begin with
+            opens[passes(self.sieve, r.first(distinct))] = True
+            starts = np.flatnonzero(opens[ids])
+            found.append(r.read(word, starts, ends[starts], self.sieve))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, C.U64))
 
     def regions(self, docs: DataFrame) -> DataFrame:
@@ -233,7 +242,7 @@ class Index:
 
         def batch(tables):
             for t, word, sizes, ids, names in _batches(tables):
-                at, key = index.hits(word, sizes)
+                at, key = index.hits(word, sizes, ids, np.array([xxh64_intdigest(w) for w in names] or [0], C.U64))
                 order = np.lexsort((key, at))
                 at, key = at[order], key[order]
                 doc = np.repeat(np.arange(len(sizes)), sizes)[at]
