@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The URI of a folder that all executors share: what the cluster names; one of our own only where none is set."""
+    """The URI of a folder that all executors share: what the cluster names; a local one only where master is local."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}")
+        sc.setCheckpointDir(shared.shared_folder(spark))
     return sc.getCheckpointDir()
 
 

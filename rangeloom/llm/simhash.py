@@ -22,8 +22,9 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from xxhash import xxh64_intdigest
 
 from . import common as C
@@ -37,6 +38,9 @@ BANDS, BAND_ROWS = 32, 6
 ODD = C.mixed(np.arange(1, BANDS * BAND_ROWS + 1, dtype=C.U64)) | C.U64(1)
 #: Shingle hashes of a candidate group that one task holds.
 MOST_HASHES = 2_000_000
+#: A print that more than one in so many rows have is joined by broadcast: fewer prints than this can be that frequent.
+HOT_SHARE = 1000
+NO_ID = (1 << 63) - 1
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -105,36 +109,41 @@ def spanning(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(a, _signed(b)) for a, b in out]
 
 
-def links(prints: DataFrame, radius: int) -> DataFrame:
-    """Edges (a, b) between distinct prints, enough to join all within the radius (an even number)."""
+def links(nodes: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) between `nodes` (node: a struct with a distinct print), enough to join all within the radius (an even number)."""
     if radius % 2:
         raise ValueError("radius has to be even")
-    tables = [F.struct(F.lit(i).alias("t"), F.col("print").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks(radius))]
-    dealt = prints.select("print", F.explode(F.array(*tables)).alias("e")).select("print", "e.t", "e.k")
-    size = graph.saved(dealt.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("b"), F.max("print").alias("a")).where("n > 1"))
-    two = size.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
+    tables = [F.struct(F.lit(i).alias("t"), F.col("node.print").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks(radius))]
+    dealt = nodes.select("node", F.explode(F.array(*tables)).alias("e")).select("node", "e.t", "e.k")
+    size = graph.saved(dealt.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("b"), F.max("node").alias("a")).where("n > 1"))
+    two = size.where((F.col("n") == 2) & (F.bit_count(F.col("a.print").bitwiseXOR(F.col("b.print"))) <= radius)).select("a", "b")
     more = size.where("n > 2").select("t", "k", "n")
     rows = more.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not rows:
         return two
-    more = graph.saved(dealt.join(more, ["t", "k"]))
+    more = graph.saved(dealt.join(more, ["t", "k"]).select("t", "k", "n", "node", "node.print"))
     groups = max(1, rows // GROUP_ROWS)
+    kind = nodes.schema["node"].dataType
+    edge = StructType([StructField("a", kind), StructField("b", kind)])
 
     def search(table: pa.Table) -> pa.Table:
         t, k, p = (table[c].to_numpy() for c in ("t", "k", "print"))
         order = np.lexsort((p, k, t))
         t, k, p = t[order], k[order], p[order]
         cuts = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1
-        found = {e for part in np.split(p, cuts) for e in spanning(part, radius)}
-        return pa.table({"a": pa.array([e[0] for e in found], pa.int64()), "b": pa.array([e[1] for e in found], pa.int64())})
-
-    few = more.where(F.col("n") <= MOST_IN_BUCKET).select("t", "k", "print", F.pmod(F.xxhash64("t", "k"), F.lit(groups)).alias("g"))
-    out = two.unionAll(few.groupBy("g").applyInArrow(search, "a long, b long"))
-    many = more.where(F.col("n") > MOST_IN_BUCKET).select("print").distinct()
+        at = dict(zip(p.tolist(), order.tolist(), strict=True))
+        found = sorted({e for part in np.split(p, cuts) for e in spanning(part, radius)})
+        node = table["node"].combine_chunks()
+        return pa.table({name: node.take(pa.array([at[e[i]] for e in found], pa.int64())) for i, name in enumerate("ab")})
+
+    few = more.where(F.col("n") <= MOST_IN_BUCKET).select("t", "k", "node", "print", F.pmod(F.xxhash64("t", "k"), F.lit(groups)).alias("g"))
+    out = two.unionAll(few.groupBy("g").applyInArrow(search, edge))
+    many = more.where(F.col("n") > MOST_IN_BUCKET).select("node").distinct()
     if many.isEmpty():
         return out
-    met = many.select("print", F.explode(F.transform(F.lit(ball(radius // 2)), lambda m: m.bitwiseXOR(F.col("print")))).alias("z"))
-    return out.unionAll(met.join(met.groupBy("z").agg(F.min("print").alias("b")), "z").where("print <> b").select(F.col("print").alias("a"), "b"))
+    met = many.select("node", F.explode(F.transform(F.lit(ball(radius // 2)), lambda m: m.bitwiseXOR(F.col("node.print")))).alias("z"))
+    low = graph.saved(met.groupBy("z").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return out.unionAll(met.join(low, "z").where("node <> b").select(F.col("node").alias("a"), "b"))
 
 
 def near_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
@@ -142,13 +151,23 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
 
     component_id is the least doc_id that links reach. A null or empty text has fingerprint zero, linked
     like any other. Each row gives a row; a null doc_id is never a component's id unless it has no other.
+    Texts of any length are whole; no rows give no rows; other columns are left behind, whatever their names.
+
+    A print's node has the least doc_id before the print, so the least node of a component, which is its root,
+    tells component_id: nothing is joined by root. Prints that more than one in HOT_SHARE rows have are joined by
+    broadcast, there being fewer than HOT_SHARE of them.
     """
     prints = graph.saved(fingerprints(docs, words))
-    distinct = graph.saved(prints.groupBy("print").agg(F.min("doc_id").alias("least")))
-    roots = graph.components(links(distinct.select("print"), radius))
-    joined = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "component_id")
-    return prints.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    node = F.struct(F.coalesce("least", F.lit(NO_ID)).alias("least"), "print")
+    distinct = graph.saved(prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).select(node.alias("node"), "n"))
+    roots = graph.components(links(distinct.select("node"), radius))
+    named = distinct.join(roots, "node", "left").select("node.print", "n", F.coalesce("root", "node")["least"].alias("component_id"))
+    rows = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") * HOT_SHARE > rows
+    few, many = named.where(~hot).select("print", "component_id"), named.where(hot).select("print", "component_id")
+    cold = prints.join(F.broadcast(many.select("print")), "print", "left_anti")
+    out = cold.join(few, "print").unionByName(prints.join(F.broadcast(many), "print"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
 
 
 def _keys(hashes: np.ndarray, distinct: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -217,7 +236,8 @@ def confirmed(docs: DataFrame, groups: DataFrame, words: int) -> DataFrame:
     A group's texts meet in one task. One of more than MOST_HASHES shingles is cut into parts, and each two
     parts meet, so no pair is left out and no task holds more than two parts.
     """
-    parts = groups.groupBy("root").agg(F.ceil(F.sum("n") / MOST_HASHES).cast("int").alias("parts"), F.sum("n").alias("all"))
+    # saved, so that the join by root has plain shuffles on both sides and a hot root can be split
+    parts = graph.saved(groups.groupBy("root").agg(F.ceil(F.sum("n") / MOST_HASHES).cast("int").alias("parts"), F.sum("n").alias("all")))
     total = parts.where("parts = 1").agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
     own, other = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
     meets = F.transform(other, lambda o: F.struct(F.col("root").alias("g"), F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
@@ -226,7 +246,7 @@ def confirmed(docs: DataFrame, groups: DataFrame, words: int) -> DataFrame:
 
     def search(table: pa.Table) -> pa.Table:
         texts, found, of = table["text"], [], {}
-        for i, (root, node) in enumerate(zip(table["root"].to_pylist(), table["node"].to_pylist())):
+        for i, (root, node) in enumerate(zip(table["root"].to_pylist(), table["node"].to_pylist(), strict=True)):
             of.setdefault(root, []).append((node, i))
         for members in of.values():
             sets = {}
@@ -243,21 +263,28 @@ def confirmed(docs: DataFrame, groups: DataFrame, words: int) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """The document with the least doc_id (then the least hash of its text) of each group, with all its columns.
+    """The row with the least doc_id (then the least hash of its text) of each group, with all its columns.
 
     Documents are linked if the Jaccard similarity of their sets of word shingles is 0.8 or more. Those that
-    share a masked print or a band of least hashes are candidates; each link is confirmed by the sets.
-    Of rows that stand for groups and share a doc_id, the one with the least hash stays; of equal texts, the
-    least row. Rows without a doc_id can't stand for a group: they stay as they are.
+    share a masked print or a band of least hashes are candidates; each link is confirmed by the sets. Texts
+    without words are near copies of each other. Unlike texts under one doc_id both stay; of equal rows one
+    does, of equal texts under one doc_id the least row. Rows without a doc_id can't stand for a group: they
+    stay as they are. Texts of any length are whole; no rows give no rows.
     """
     named = docs.where(docs["doc_id"].isNotNull())
     distinct = graph.saved(sketches(named, words, radius).groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     dealt = distinct.select("node", F.explode("keys").alias("k"))
-    met = dealt.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy("k")).alias("b")).where("a <> b")
-    candidates = graph.components(met)
-    groups = graph.saved(distinct.drop("keys").join(candidates, distinct["node"] == candidates["node"]).select("least.doc_id", distinct["node"], "n", "root"))
+    low = graph.saved(dealt.groupBy("k").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "b"))
+    candidates = graph.components(dealt.join(low, "k").where("node <> b").select(F.col("node").alias("a"), "b"))
+    groups = graph.saved(distinct.drop("keys").join(candidates, "node").select("least.doc_id", "node", "n", "root"))
     roots = graph.components(confirmed(named, groups, words))
     joined = distinct.select("least", "node").join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
-    kept = joined.groupBy("root").agg(F.min("least").alias("least")).select("least.*").groupBy("doc_id").agg(F.min("row").alias("row"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("all"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("row"))
-    return rows.join(kept, ["doc_id", "row"], "left_semi").groupBy("doc_id").agg(F.min("all").alias("all")).select("all.*").unionAll(docs.where(docs["doc_id"].isNull()))
+    kept = joined.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    rows = docs.select("*", docs["doc_id"].cast("long").alias("__id"), F.xxhash64(docs["text"].cast("string")).alias("__row"))
+    out = rows.join(kept.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")), ["__id", "__row"], "left_semi")
+    again = graph.saved(rows.where("__id IS NOT NULL").groupBy("__id", "__row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    if not again.isEmpty():  # rows with one id and text: one of them
+        of = [F.col(c) for c in docs.columns]
+        once = out.join(again, ["__id", "__row"], "left_semi").groupBy("__id", "__row").agg(F.min(F.struct(*of)).alias("all")).select("all.*")
+        out = out.join(again, ["__id", "__row"], "left_anti").select(*of).unionAll(once)
+    return out.select(*docs.columns).unionAll(docs.where(docs["doc_id"].isNull()))

@@ -32,7 +32,10 @@ def components(prints, radius):
     return [find(i) for i in range(len(prints))]
 
 
-def test_groups(docs, rows, empty):
+@pytest.mark.parametrize("share", [1000, 3])
+def test_groups(docs, rows, empty, monkeypatch, share):
+    """With all prints joined by broadcast that more than one in a thousand, or in three, have."""
+    monkeypatch.setattr(simhash, "HOT_SHARE", share)
     prints = [fingerprint(t) for _, t, *_ in rows]
     roots = components(prints, 2)
     least = {r: min((rows[i][0] for i in range(len(rows)) if roots[i] == r and rows[i][0] is not None), default=None) for r in set(roots)}
@@ -56,8 +59,8 @@ def test_links_of_a_hot_bucket(spark, monkeypatch, radius, most):
     r = np.random.default_rng(4)
     base = int(r.integers(0, 1 << 62))
     prints = sorted({base} | {base ^ sum(1 << int(b) for b in r.choice(24, r.integers(0, 5), replace=False)) for _ in range(400)})
-    table = spark.createDataFrame([(simhash._signed(p),) for p in prints], "print long")
-    roots = {r.node: r.root for r in graph.components(simhash.links(table, radius)).collect()}
+    table = spark.createDataFrame([((i * 7 % 401, simhash._signed(p)),) for i, p in enumerate(prints)], "node struct<least: long, print: long>")
+    roots = {r.node.print: r.root.print for r in graph.components(simhash.links(table, radius)).collect()}
     got = [roots.get(simhash._signed(p), simhash._signed(p)) for p in prints]
     want = components(prints, radius)
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
@@ -74,7 +77,9 @@ def test_keep_first(docs):
     kept = simhash.keep_first(docs)
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == docs.columns
-    assert 0 in ids and not any(100 <= i < 112 for i in ids if i is not None) and ids.count(5) == 1 and ids.count(None) == 2
+    # two unlike texts have id 5, one of them three times
+    assert 0 in ids and not any(100 <= i < 112 for i in ids if i is not None) and ids.count(5) == 2 and ids.count(None) == 2
+    assert simhash.keep_first(docs.where("false")).collect() == []
 
 
 def sets(text, k=5):
@@ -122,11 +127,11 @@ def test_keep_first_of_a_repeated_id(spark):
     """A near copy under an id doesn't take a clean text of that id with it, however the rows come."""
     r = np.random.default_rng(9)
     text = lambda: " ".join(f"w{x}" for x in r.integers(0, 3000, 60))
-    first, clean = text(), text()
-    rows = [(3, first, "a"), (5, first, "b"), (5, clean, "d"), (5, clean, "c")]
+    first, clean, other = text(), text(), text()
+    rows = [(3, first, "a"), (5, first, "b"), (5, clean, "d"), (5, clean, "c"), (5, other, "e"), (6, other, "f")]
     for order in (rows, rows[::-1]):
         kept = simhash.keep_first(spark.createDataFrame(order, "doc_id long, text string, lang string").coalesce(1)).collect()
-        assert sorted(map(tuple, kept)) == [(3, first, "a"), (5, clean, "c")]
+        assert sorted(map(tuple, kept)) == sorted([(3, first, "a"), (5, clean, "c"), (5, other, "e")])
 
 
 def test_fingerprints(docs, rows, empty, monkeypatch):
