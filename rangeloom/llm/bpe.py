@@ -34,7 +34,8 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed values of the public tokenizer: its pattern for words.
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
-CACHE = 150_000
+#: Bytes of pieces of text that are kept encoded.
+CACHE = 16_000_000
 MOST_ARCS = 400_000
 
 

@@ -283,18 +283,19 @@ def word_ids(texts: list[bytes], end: bytes | None = None) -> tuple[np.ndarray,
 
 
 class Kept(dict):
-    """Values of `make`, kept while they are in use: at most twice `size`, in two generations."""
+    """Values of `make`, kept while they are in use: keys of at most twice `size` bytes (each counts for 100 more), in two generations."""
 
     def __init__(self, make, size: int):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.room, self.old = make, size, size, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
+        self.room -= len(key) + 100
+        if self.room < 0:
+            self.old, self.room = dict(self), self.size
             self.clear()
         self[key] = value
         return value

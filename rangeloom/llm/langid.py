@@ -2,8 +2,9 @@
 
 Each language has a probability for every piece of the vocabulary. A word's probability in a language is
 the sum over all ways to cut it into pieces of the product of their probabilities: a forward pass over
-its characters, made for all distinct words of a batch at once. Pieces are learned by
-expectation-maximisation from the forward and backward sums; the vocabulary itself is never trained.
+its characters, made for all distinct words of a batch at once, whatever their length. Sums are scaled up as
+they get small, so that long runs of letters keep theirs. Pieces are learned by expectation-maximisation
+from the forward and backward sums; the vocabulary itself is never trained.
 """
 
 from __future__ import annotations
@@ -26,15 +27,15 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 MAX_LEARNED = 3_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-LONGEST = 32  # words are cut into stretches of at most so many characters
 ROUNDS, PRIOR = 2, 0.5
-MOST_WORDS = 600_000  # that a worker keeps scores of
+#: Characters of words that a worker keeps scores of (each word counts for eight more), and of those worked on at once.
+MOST_CHARACTERS, PART = 10_000_000, 200_000
+SMALL = 1e-100
 
 
 def words(text: str) -> list[str]:
     """Runs of letters in lower case, each with the vocabulary's mark of a word's start."""
-    out = ["▁" + w for w in _WORD.findall(text.lower())]
-    return out if max(map(len, out), default=0) <= LONGEST else [w[i : i + LONGEST] for w in out for i in range(0, len(w), LONGEST)]
+    return ["▁" + w for w in _WORD.findall(text.lower())]
 
 
 class Vocabulary:
@@ -45,36 +46,110 @@ class Vocabulary:
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
         self.piece = {p: i for i, p in enumerate(pieces)}
         self.other = len(pieces)  # any single character that is no piece
-        self.table: dict = {}  # character -> [the piece that ends here or -1, table of the longer ones]
-        for p, i in self.piece.items():
-            if len(p) <= LONGEST:
-                table, step = self.table, [-1, {}]
-                for c in p:
-                    step = table.setdefault(c, [-1, {}])
-                    table = step[1]
-                step[0] = i
-
-    def lattice(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Edges of all words (a million at most), in order of where they end: (word, from, to, piece)."""
-        edges: list[int] = []
-        add, whole, other = edges.append, self.table, self.other
-        for w, name in enumerate(names):
-            n = len(name)
-            for a in range(n):
-                table, head = whole, w << 22 | a << 16
-                for b in range(a, n):
-                    step = table.get(name[b])
-                    if step is None:
-                        if b == a:
-                            add(b + 1 << 42 | head | other)
-                        break
-                    piece, table = step
-                    if piece >= 0:
-                        add(b + 1 << 42 | head | piece)
-                    elif b == a:
-                        add(b + 1 << 42 | head | other)
-        code = np.sort(np.array(edges, np.int64))
-        return code >> 22 & 0xFFFFF, code >> 16 & 0x3F, code >> 42, code & 0xFFFF
+        self.longest = max(map(len, pieces))
+        # for each length: hashes of all beginnings of pieces, sorted; the piece that is one, or -1; and its characters
+        self.beginnings = []
+        for n in range(1, self.longest + 1):
+            own = sorted({p[:n] for p in pieces if len(p) >= n})
+            characters = np.array([[ord(c) for c in x] for x in own], np.uint32).reshape(-1, n)
+            h = np.zeros(len(own), C.U64)
+            for column in characters.T:
+                h = _grown(h, column)
+            by = np.argsort(h)
+            self.beginnings.append((h[by], np.array([self.piece.get(own[i], -1) for i in by], np.int64), characters[by]))
+
+    def lattice(self, names: list[str]) -> Lattice:
+        """All pieces at all places of the words."""
+        size = np.array([len(x) for x in names], np.int64)
+        text = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32)
+        word, end = np.repeat(np.arange(len(names)), size), np.repeat(np.cumsum(size), size)
+        at, h, parts = np.arange(len(text)), np.zeros(len(text), C.U64), []
+        for n, (known, piece, characters) in enumerate(self.beginnings, 1):
+            inside = at + n <= end[at]
+            at, h = at[inside], _grown(h[inside], text[at[inside] + n - 1])
+            place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            there = known[place] == h
+            there[there] = (characters[place[there]] == text[at[there][:, None] + np.arange(n)]).all(1)
+            if n == 1:
+                alone = ~there | (piece[place] < 0)
+                parts.append((at[alone], np.full(alone.sum(), 1), np.full(alone.sum(), self.other)))
+            at, h, found = at[there], h[there], piece[place[there]]
+            parts.append((at[found >= 0], np.full((found >= 0).sum(), n), found[found >= 0]))
+        start, n, piece = (np.concatenate(x) for x in zip(*parts, strict=True))
+        first = np.cumsum(size) - size
+        a = start - first[word[start]]
+        order = np.lexsort((word[start], a + n))
+        return Lattice(size, word[start][order], a[order], (a + n)[order], piece[order], self.longest)
+
+
+def _grown(h: np.ndarray, character: np.ndarray) -> np.ndarray:
+    return C.mixed(h * C.U64(C.MULTIPLIER) + character.astype(C.U64) + C.U64(1))
+
+
+@dataclass(frozen=True)
+class Lattice:
+    """Edges from place a to place b of a word, in order of b and of the word; every place but the first has one."""
+
+    size: np.ndarray
+    word: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    piece: np.ndarray
+    longest: int
+
+    @property
+    def first(self) -> np.ndarray:
+        """Where each word's places 0 to its size begin in an array of all words' places."""
+        return np.cumsum(self.size + 1) - self.size - 1
+
+    def mirrored(self) -> Lattice:
+        a, b = self.size[self.word] - self.b, self.size[self.word] - self.a
+        order = np.lexsort((self.word, b))
+        return Lattice(self.size, self.word[order], a[order], b[order], self.piece[order], self.longest)
+
+    def sums(self, p: np.ndarray) -> np.ndarray:
+        """log of the sum over all segmentations of the first i characters, for all words and i."""
+        first, places = self.first, int((self.size + 1).sum())
+        source, target, weight = first[self.word] + self.a, first[self.word] + self.b, p[self.piece]
+        value, out, scale = np.zeros(places), np.full(places, -np.inf), np.zeros(len(self.size))
+        value[first], out[first] = 1, 0
+        stops = np.searchsorted(self.b, np.arange(1, int(self.size.max(initial=0)) + 2))
+        lead = np.flatnonzero(np.diff(target, prepend=-1) != 0)
+        leads = np.searchsorted(lead, stops)
+        for i, (lo, hi) in enumerate(zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)):
+            own = lead[leads[i] : leads[i + 1]]
+            new, at, w = np.add.reduceat(value[source[lo:hi]] * weight[lo:hi], own - lo), target[own], self.word[own]
+            value[at] = new
+            out[at] = np.log(new) - scale[w]
+            tiny = np.flatnonzero(new < SMALL)
+            if len(tiny):  # the last places of these words are scaled up
+                back = at[tiny][:, None] - np.arange(min(self.longest, i + 1) + 1)
+                factor = 1 / new[tiny]
+                value[back] *= factor[:, None]
+                scale[w[tiny]] += np.log(factor)
+        return out
+
+    def log_total(self, p: np.ndarray) -> np.ndarray:
+        return self.sums(p)[self.first + self.size]
+
+    def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece in words seen `counts` times."""
+        forward, backward = self.sums(p), self.mirrored().sums(p)
+        first, size = self.first[self.word], self.size[self.word]
+        use = np.exp(forward[first + self.a] + np.log(p[self.piece]) + backward[first + size - self.b] - forward[first + size]) * counts[self.word]
+        return np.bincount(self.piece, weights=use, minlength=len(p))
+
+
+def in_parts(names: list[str]) -> list[list[int]]:
+    """Places of words, of like length together, in parts of about PART characters."""
+    out, room = [], 0
+    for i in sorted(range(len(names)), key=lambda i: (len(names[i]), names[i])):
+        if room <= 0:
+            out.append([])
+            room = PART
+        out[-1].append(i)
+        room -= len(names[i])
+    return out
 
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -86,55 +161,26 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
-def forward(edges, p: np.ndarray, n: int) -> np.ndarray:
-    """alpha[word, i]: the sum over all segmentations of the first i characters."""
-    word, a, b, piece = edges
-    alpha = np.zeros((n, LONGEST + 2))
-    alpha[:, 0] = 1
-    stops = np.searchsorted(b, np.arange(1, LONGEST + 3))
-    for i, (lo, hi) in enumerate(zip(stops[:-1], stops[1:], strict=True), 1):
-        if lo < hi:
-            alpha[:, i] = np.bincount(word[lo:hi], weights=alpha[word[lo:hi], a[lo:hi]] * p[piece[lo:hi]], minlength=n)
-    return alpha
-
-
-def expected(edges, p: np.ndarray, names: list[str], counts: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece in words seen `counts` times."""
-    word, a, b, piece = edges
-    n, size = len(names), np.array([len(x) for x in names])
-    alpha = forward(edges, p, n)
-    beta = np.zeros((n, LONGEST + 2))
-    beta[np.arange(n), size] = 1
-    order = np.argsort(-a, kind="stable")
-    word, a, b, piece = word[order], a[order], b[order], piece[order]
-    stops = np.searchsorted(-a, -np.arange(LONGEST + 1, -2, -1))
-    for lo, hi in zip(stops[:-1], stops[1:], strict=True):
-        if lo < hi:
-            beta[:, a[lo]] += np.bincount(word[lo:hi], weights=beta[word[lo:hi], b[lo:hi]] * p[piece[lo:hi]], minlength=n)
-    total = alpha[np.arange(n), size]
-    use = alpha[word, a] * p[piece] * beta[word, b] * (counts / np.maximum(total, 1e-300))[word]
-    return np.bincount(piece, weights=use, minlength=len(p))
-
-
 class WordScores:
     """log-probabilities of words in each language, kept from batch to batch."""
 
     def __init__(self, model: Model):
-        self.model, self.names, self.each = model, {}, np.zeros((len(model.langs), 0))
+        self.model, self.names, self.each, self.room = model, {}, np.zeros((len(model.langs), 0)), MOST_CHARACTERS
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """Word numbers of each text; `each` has a column for every number."""
-        if len(self.names) > MOST_WORDS:
-            self.names, self.each = {}, np.zeros((len(self.model.langs), 0))
+        if self.room < 0:
+            self.names, self.each, self.room = {}, np.zeros((len(self.model.langs), 0)), MOST_CHARACTERS
         names, known = self.names, len(self.names)
-        out = [np.fromiter([names.setdefault(w, len(names)) for w in words(t)] if t else [], np.int32) for t in texts]
+        out = [np.fromiter([names.setdefault(w, len(names)) for w in words(t)] if t else [], np.int64) for t in texts]
         fresh, v = list(islice(names, known, None)), vocabulary(self.model.path)
-        parts = [self.each]
-        for lo in range(0, len(fresh), 20_000):
-            part = fresh[lo : lo + 20_000]
-            edges, size, at = v.lattice(part), np.array([len(x) for x in part]), np.arange(len(part))
-            parts.append(np.stack([np.log(forward(edges, np.exp(log_p), len(part))[at, size] + 1e-300) for log_p in self.model.log_p]))
-        self.each = np.concatenate(parts, axis=1)
+        self.room -= sum(map(len, fresh)) + 8 * len(fresh)
+        new = np.zeros((len(self.model.langs), len(fresh)))
+        for part in in_parts(fresh):
+            lattice = v.lattice([fresh[i] for i in part])
+            for k, log_p in enumerate(self.model.log_p):
+                new[k, part] = lattice.log_total(np.exp(log_p))
+        self.each = np.concatenate((self.each, new), axis=1)
         return out
 
 
@@ -175,11 +221,11 @@ def fit(path: str, counts: dict[str, Counter]) -> Model:
         c = counts[lang]
         names = sorted(c)
         n = np.array([c[x] for x in names], float)
-        edges = v.lattice(names)
-        use = np.bincount(edges[3], weights=n[edges[0]], minlength=v.other + 1)
+        parts = [(v.lattice([names[i] for i in part]), n[part]) for part in in_parts(names)]
+        use = sum(np.bincount(x.piece, weights=m[x.word], minlength=v.other + 1) for x, m in parts)
         for _ in range(ROUNDS):
             p = (use + 1e-3) / (use.sum() + 1e-3 * len(use))
-            use = expected(edges, p, names, n)
+            use = sum(x.expected(p, m) for x, m in parts)
         tables.append(use)
     if not langs:
         return Model(path, [], np.zeros((0, v.other + 1)), uuid.uuid4().hex)
@@ -189,7 +235,10 @@ def fit(path: str, counts: dict[str, Counter]) -> Model:
 
 
 def train(docs: DataFrame, path: str, modulus: int = 4, held: int = 2, max_learned: int = MAX_LEARNED) -> Model:
-    """A model from documents whose crc32(doc_id) mod `modulus` is not `held`; null texts and langs teach nothing."""
+    """A model from documents whose crc32(doc_id) mod `modulus` is not `held`; null ids, texts and langs teach nothing.
+
+    Every row of a chosen doc_id teaches. Without such rows the model knows no language.
+    """
     C.ship(docs.sparkSession)
     known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~C.remainder_is("doc_id", modulus, held))
     sample = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(max_learned)
@@ -214,7 +263,12 @@ def _from_counts(path: str, rows: pa.Table) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, modulus: int = 4, held: int = 2) -> DataFrame:
-    """The language of every text; `und` with score 0 if it is null or has no letter, or nothing was learned."""
+    """The language of every text; `und` with score 0 if it is null or has no letter, or nothing was learned.
+
+    The likeliest language counts, of equally likely ones the first by name. Repeated rows each get a row; no rows
+    give no rows. Texts and runs of letters of any length are whole, at some two hundred bytes of memory a character of the
+    longest run. Other columns are left behind, whatever their names.
+    """
     rows = C.documents(docs).withColumn("held_out", C.remainder_is("doc_id", modulus, held))
 
     def batch(tables):

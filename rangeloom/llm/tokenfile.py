@@ -27,7 +27,8 @@ from .bpe import SPACE, byte_symbols
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
 LENGTH, ROWS = 2048, 256
-CACHE = 400_000
+#: Bytes of pre-tokens that are kept encoded.
+CACHE = 44_000_000
 
 
 #: Fixed value of the public tokenizer: how it splits texts. Alternatives that can't start alike stand in order of use.

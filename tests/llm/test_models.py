@@ -153,23 +153,91 @@ def test_quality(spark, docs, rows, empty):
     assert quality.classify(empty, trees).collect() == []
 
 
+def segmentations(v, p, word):
+    """(sum over every way to cut a word, expected uses of each piece), place by place in plain Python."""
+    n = len(word)
+    pieces = [(a, b, v.piece.get(word[a:b], v.other if b == a + 1 else None)) for a in range(n) for b in range(a + 1, min(n, a + v.longest) + 1)]
+    pieces = [e for e in pieces if e[2] is not None]
+    ahead, behind = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+    for a, b, k in sorted(pieces, key=lambda e: e[1]):
+        ahead[b] += ahead[a] * p[k]
+    for a, b, k in sorted(pieces, key=lambda e: -e[0]):
+        behind[a] += behind[b] * p[k]
+    use = Counter()
+    for a, b, k in pieces:
+        use[k] += ahead[a] * p[k] * behind[b] / ahead[n]
+    return ahead[n], use
+
+
+def ways(v, p, s):
+    """The sum by enumeration."""
+    if not s:
+        return 1.0
+    return sum(p[v.piece[s[:k]] if s[:k] in v.piece else v.other] * ways(v, p, s[k:]) for k in range(1, len(s) + 1) if s[:k] in v.piece or k == 1)
+
+
 def test_segmentations_are_summed():
-    """The forward pass is the sum over every way to cut a word, counted out."""
     v = langid.vocabulary(tokenizer_path("piece_bpe_32k.model"))
     r = np.random.default_rng(2)
     p = r.random(v.other + 1)
-    names = ["▁the", "▁x", "ab", "▁hello", "☃a", "▁naïve"]
-
-    def total(s):
-        if not s:
-            return 1.0
-        return sum(p[v.piece[s[:k]] if s[:k] in v.piece else v.other] * total(s[k:]) for k in range(1, len(s) + 1) if s[:k] in v.piece or k == 1)
-
-    edges = v.lattice(names)
-    alpha = langid.forward(edges, p, len(names))
-    assert [alpha[i, len(s)] for i, s in enumerate(names)] == pytest.approx([total(s) for s in names])
-    use = langid.expected(edges, p, names, np.ones(len(names)))
-    assert use.sum() > len(names) and use[v.other] == pytest.approx(1 if "☃" not in v.piece else 0)
+    short = ["▁the", "▁x", "ab", "▁hello", "☃a", "▁naïve", "中文"]
+    assert np.exp(v.lattice(short).log_total(p)) == pytest.approx([ways(v, p, s) for s in short])
+    p = p / p.sum()
+    # runs of more than 32 letters, and of letters so rare that the plain sum would vanish
+    names = [*short, "▁" + "donaudampfschifffahrtsgesellschaft" * 3, "▁" + "the" * 40, "☃" * 33]
+    want = [segmentations(v, p, s) for s in names]
+    lattice = v.lattice(names)
+    assert lattice.log_total(p) == pytest.approx([np.log(x) for x, _ in want])
+    use, all_ = lattice.expected(p, np.ones(len(names))), sum((u for _, u in want), Counter())
+    assert np.allclose(use, [all_[i] for i in range(len(p))])
+    far = "▁" + "zq☃xé" * 2000
+    logs = v.lattice([far, "▁a"]).log_total(p)
+    half = v.lattice([far[: len(far) // 2]]).log_total(p)[0]
+    assert logs[0] < 1.9 * half < -700 and np.isfinite(logs).all() and logs[1] == pytest.approx(v.lattice(["▁a"]).log_total(p)[0])
+
+
+def test_more_words_than_twenty_bits():
+    v = langid.vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    p = np.full(v.other + 1, 0.01)
+    names = ["ab"] * 1_048_581 + ["abc"]
+    got = v.lattice(names).log_total(p)
+    assert np.ptp(got[:-1]) == 0 and got[0] == pytest.approx(np.log(ways(v, p, "ab"))) and got[-1] == pytest.approx(np.log(ways(v, p, "abc")))
+
+
+def test_language_by_brute_force(spark, monkeypatch):
+    """Learned probabilities, predictions and scores as plain sums give them, whole texts of held-out and learned rows."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    v = langid.vocabulary(path)
+    monkeypatch.setattr(langid, "PART", 40)
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat, the hat", "en"), ("le chat noir", "fr"), ("a b-c 12", "en"), ("ÉTÉ étés", "fr"), ("zzz", "de"), ("der hut der katze", "de"), ("the " * 9, "en"), ("chat chat hat", None), ("antidisestablishmentarianismus" * 2, "en"), ("x", "fr")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, path)
+    counts = {}
+    for i, t, lang in rows:
+        if lang and remainder(i, 4) != 2:
+            counts.setdefault(lang, Counter()).update(langid.words(t))
+    uses = []
+    for lang in sorted(counts):
+        use = Counter()
+        for w, n in counts[lang].items():
+            for a in range(len(w)):
+                for b in range(a + 1, min(len(w), a + v.longest) + 1):
+                    if w[a:b] in v.piece or b == a + 1:
+                        use[v.piece.get(w[a:b], v.other)] += n
+        for _ in range(langid.ROUNDS):
+            p = (np.array([use[k] for k in range(v.other + 1)], float) + 1e-3) / (sum(use.values()) + 1e-3 * (v.other + 1))
+            use = Counter()
+            for w, n in counts[lang].items():
+                for k, x in segmentations(v, p, w)[1].items():
+                    use[k] += n * x
+        uses.append(np.array([use[k] for k in range(v.other + 1)], float))
+    base = (sum(uses) + langid.PRIOR) / (sum(u.sum() for u in uses) + langid.PRIOR * (v.other + 1))
+    weight = langid.PRIOR * (v.other + 1) / 10
+    ps = [(u + weight * base) / (u.sum() + weight) for u in uses]
+    for r in langid.predict(docs, model).collect():
+        logs = np.array([sum(np.log(segmentations(v, p, w)[0]) for w in langid.words(rows[r.doc_id][1])) for p in ps])
+        odds = np.exp(logs - logs.max())
+        assert r.lang_pred == sorted(counts)[int(odds.argmax())] and r.score == pytest.approx(odds.max() / odds.sum()) and r.held_out == (remainder(r.doc_id, 4) == 2)
 
 
 def test_language(spark, rows, docs, empty):
@@ -186,3 +254,7 @@ def test_language(spark, rows, docs, empty):
     assert all(by[i].lang_pred == lang for i, _, lang in made if by[i].held_out)
     nothing = langid.train(empty, tokenizer_path("piece_bpe_32k.model"))
     assert {x.lang_pred for x in langid.predict(table, nothing).collect()} == {"und"} and langid.predict(empty, model).collect() == []
+    # extra columns with clashing names, a very long run of letters, a lone surrogate-free odd letter
+    odd = spark.createDataFrame([(1, "the cat sat " * 3000, "en", 1.0, True, "x"), (2, "ab" * 60_000, None, 2.0, None, "y"), (3, "𝔘𝔫", None, None, None, None)], "doc_id long, text string, lang string, score double, held_out boolean, lang_pred string")
+    got = {x.doc_id: x for x in langid.predict(odd, model).collect()}
+    assert got[1].lang_pred == "en" and got[2].lang_pred in ("en", "fr") and got[3].lang_pred in ("en", "fr") and len(got) == 3
