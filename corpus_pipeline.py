@@ -1,7 +1,9 @@
 """From raw documents to token ids: five stages, each over all that the one before it kept.
 
 Every function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next one's docs. All but the last return the columns of documents.
+again as the next one's docs. All but the last return the columns of documents. Null texts are empty ones; rows
+without a doc_id go through every stage but stand for no group; no rows give no rows; texts of any length are
+whole; further columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -12,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rangeloom.llm import bpe, decontam, graph, quality, simhash, suffix
 from rangeloom.llm.queries import tokenizer_path
+from rangeloom.sources.shared import delete_at_exit
 
 #: SQL can't express boosted trees or a tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be good."""
+    """Documents that the classifier predicts to be good; without labels of both kinds, none is told from another."""
     return quality.keep_good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -46,7 +49,9 @@ STAGES = [("quality classifier", quality_classifier), ("SimHash near-dedup", nea
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's table goes once the next one is written, the last one when the driver ends."""
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{graph.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    delete_at_exit(spark, folder)
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
