@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import delete_at_exit
 from . import bpe, decontam, graph, langid, lm, minhash, quality, rlz, simhash, suffix, tokenfile
 
 
@@ -51,6 +52,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{graph.shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    delete_at_exit(spark, folder)
     return tokenfile.read(tokenfile.write(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), folder))
 
 

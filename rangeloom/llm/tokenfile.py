@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyarrow import fs, ipc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -27,6 +27,8 @@ from .bpe import SPACE, byte_symbols
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
 LENGTH, ROWS = 2048, 256
+#: Files whose numbers of ids are summed together.
+GROUP = 10_000
 #: Bytes of pre-tokens that are kept encoded.
 CACHE = 44_000_000
 
@@ -126,7 +128,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = 2, length: in
     """Writes the files in ascending doc_id order and returns their manifest, one row a file.
 
     Attempts of a task write files of their own names, and the manifest, which is saved, names those
-    of the attempt that ended: a lost executor leaves at worst a file that nothing names.
+    of the attempt that ended: a lost executor leaves at worst a file that nothing names. A null text is empty, so
+    it has the end id alone; null ids come first, rows of one id by text; repeated rows are each written; no rows
+    write no file. Texts of any length are whole. Other columns are left behind, whatever their names.
     """
     docs = C.documents(docs)
     parts = C.block_count(docs, block_bytes)
@@ -163,13 +167,17 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = 2, length: in
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """Each document's place in the whole order and a checksum of its ids, from the files alone."""
-    spark = manifest.sparkSession
-    rows, before = [], 0
-    for r in sorted(manifest.select("part", "path", "n_tokens").collect()):  # one row a file
-        rows.append((r.path, before))
-        before += r.n_tokens
-    files = spark.createDataFrame(rows, "path string, before long").repartition(max(1, len(rows)))
+    """Each document's place in the whole order and a checksum of its ids, from the files alone; a row for each row written.
+
+    How many ids lie before a file is a running sum over the manifest, worked out by Spark: parts are
+    summed in groups of GROUP, so no task has more than GROUP files or groups.
+    """
+    groups = manifest.withColumn("group", F.floor(F.col("part") / GROUP))
+    ahead = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    sums = groups.groupBy("group").agg(F.sum("n_tokens").alias("n")).select("group", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("above"))
+    own = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("above") + F.coalesce(F.sum("n_tokens").over(own), F.lit(0))
+    files = groups.join(sums, "group").select("path", before.alias("before")).repartition("path")
 
     def get(tables):
         for t in tables:
