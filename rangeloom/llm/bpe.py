@@ -9,8 +9,13 @@ as (state before, arc cut, time), and "may t follow s" is answered from the reco
 * a state knows the tokens older than itself except those cut from it or from what it was copied from;
 * a younger token uv has an arc wherever u had one.
 
-Prefixes of an accepted sequence are accepted, and a string has one accepted sequence, so encoding goes
-left to right with a table of the last token of each prefix. Decoding puts out the arcs' labels.
+Copies share what they have in common with what they were copied from, as the full table would have an arc
+for nearly each pair of tokens.
+
+Prefixes of an accepted sequence are accepted, and a string has one accepted sequence. So a word is read once
+from left to right, without a step back: a second table of states and transitions over symbols tells after each
+symbol which tokens end there, and of those the one that the state before it has an arc for is the last token of
+the sequence so far. Decoding puts out the arcs' labels.
 """
 
 from __future__ import annotations
@@ -48,39 +53,53 @@ class Automaton:
     left: list[int]
     right: list[int]
     born: list[int]
-    table: dict  # symbol -> [the token that ends here or -1, table of the longer ones]
-    shorter: list[int] = field(default_factory=list)  # the next token that a token begins with
-    sizes: list[int] = field(default_factory=list)  # symbols of a token
+    step: list[dict[str, int]]  # state over symbols -> symbol -> state; 0 is the first
+    fail: list[int]  # the state of the longest proper suffix
+    ends: list[tuple[tuple[int, int], ...]]  # (token, symbols) of the tokens that end in a state, the longest first
     arcs: dict[int, bool] = field(default_factory=dict)
 
     @classmethod
     def compile(cls, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "") -> Automaton:
         size = max(vocab.values()) + 1
-        left, right, born, cut = [-1] * size, [-1] * size, [-1] * size, {}
+        self = cls(vocab, {}, [-1] * size, [-1] * size, [-1] * size, [{}], [0], [()])
         for time, (a, b) in enumerate(merges):
-            u, v, uv = vocab[a], vocab[b], vocab[a + b]
-            cut[u, v] = time
-            if born[uv] < 0:
-                left[uv], right[uv], born[uv] = u, v, time
-        self = cls(vocab, cut, left, right, born, {}, [-1] * size, [0] * size)
+            self._gadget(time, vocab[a], vocab[b], vocab[a + b])
         for token, i in vocab.items():
             body, suffix = (token[: -len(end)], end) if end and token.endswith(end) and token != end else (token, "")
             if len(body) == 1 or self._made(i):
-                self.sizes[i] = len(body)
-                table, step = self.table, [-1, {}]
+                at = 0
                 for symbol in [*body[:-1], body[-1] + suffix]:
-                    step = table.setdefault(symbol, [-1, {}])
-                    table = step[1]
-                step[0] = i
-        waiting = [(self.table, -1)]
-        while waiting:
-            table, above = waiting.pop()
-            for token, longer in table.values():
-                if token >= 0:
-                    self.shorter[token] = above
-                waiting.append((longer, token if token >= 0 else above))
+                    known = self.step[at].setdefault(symbol, len(self.step))
+                    if known == len(self.step):
+                        self.step.append({})
+                        self.fail.append(0)
+                        self.ends.append(())
+                    at = known
+                self.ends[at] = ((i, len(body)),)
+        row = list(self.step[0].values())
+        while row:  # the states of one symbol, of two, ...
+            below = []
+            for at in row:
+                for symbol, to in self.step[at].items():
+                    self.fail[to] = self._next(self.fail[at], symbol)
+                    below.append(to)
+            for at in below:
+                self.ends[at] += self.ends[self.fail[at]]
+            row = below
         return self
 
+    def _gadget(self, time: int, u: int, v: int, uv: int) -> None:
+        """u leads to a copy of its state without the arc v; uv stands beside u and leads to where v leads."""
+        self.cut[u, v] = time
+        if self.born[uv] < 0:
+            self.left[uv], self.right[uv], self.born[uv] = u, v, time
+
+    def _next(self, at: int, symbol: str) -> int:
+        """The state after a symbol: that of the longest suffix that some token begins with."""
+        while at and symbol not in self.step[at]:
+            at = self.fail[at]
+        return self.step[at].get(symbol, 0)
+
     def follows(self, s: int, t: int) -> bool:
         """Whether the state after token s has an arc for token t."""
         key = s << 32 | t
@@ -105,82 +124,32 @@ class Automaton:
         return True
 
     def encode(self, word: str, suffix: str = "") -> list[int]:
-        """The accepted sequence of a word; `suffix` belongs to the last symbol.
-
-        From each place the table gives all tokens that the text goes on with. The longest that the
-        last token's state has an arc for is taken; where none is left, the last one is taken back.
-        """
-        if not word:
-            return []
-        symbols = list(word)
-        symbols[-1] += suffix
-        n, table, arcs, shorter, sizes = len(symbols), self.table, self.arcs, self.shorter, self.sizes
-        out, b, before = [], 0, -1
-        while b < n:  # as long as nothing has to be taken back
-            kids, token = table, -1
-            for s in symbols[b:] if b else symbols:
-                step = kids.get(s)
-                if step is None:
-                    break
-                ends, kids = step
-                if ends >= 0:
-                    token = ends
-            if before >= 0:
-                while token >= 0:
+        """The accepted sequence of a word; `suffix` belongs to the last symbol."""
+        n, arcs, step, ends = len(word), self.arcs, self.step, self.ends
+        last, sizes, at = [-1] * (n + 1), [0] * (n + 1), 0
+        for i, symbol in enumerate(word, 1):
+            if i == n:
+                symbol += suffix
+            to = step[at].get(symbol)
+            at = self._next(at, symbol) if to is None else to
+            for token, size in ends[at]:
+                before = last[i - size]
+                if before < 0:
+                    ok = i == size
+                else:
                     ok = arcs.get(before << 32 | token)
                     if ok is None:
                         ok = self.follows(before, token)
-                    if ok:
-                        break
-                    token = shorter[token]
-            if token < 0:
-                return self._search(symbols)
-            out.append(token)
-            b += sizes[token]
-            before = token
-        return out
-
-    def _search(self, symbols: list[str]) -> list[int]:
-        n, table, arcs, out, ends, dead = len(symbols), self.table, self.arcs, [], [0], None
-        choices = [self._choices(symbols, 0, n, table)]
-        while ends[-1] < n:
-            before, open_, at = (out[-1] if out else -1), choices[-1], ends[-1]
-            while open_:
-                token, e = open_.pop()
-                if before >= 0:
-                    ok = arcs.get(before << 32 | token)
-                    if ok is None:
-                        ok = self.follows(before, token)
-                    if not ok:
-                        continue
-                if dead and (e, token) in dead:
-                    continue
-                out.append(token)
-                ends.append(e)
-                if e < n:
-                    choices.append(self._choices(symbols, e, n, table))
-                break
+                if ok:
+                    last[i], sizes[i] = token, size
+                    break
             else:
-                if not out:
-                    raise ValueError(f"no token sequence for {symbols!r}")
-                dead = dead or set()
-                dead.add((at, out.pop()))
-                ends.pop()
-                choices.pop()
-        return out
-
-    @staticmethod
-    def _choices(symbols: list[str], b: int, n: int, table: dict) -> list[tuple[int, int]]:
-        """(token, end) of the tokens at a place, from the shortest to the longest."""
+                raise ValueError(f"no token sequence for {word!r}")
         out = []
-        for e in range(b, n):
-            step = table.get(symbols[e])
-            if step is None:
-                break
-            token, table = step
-            if token >= 0:
-                out.append((token, e + 1))
-        return out
+        while n:
+            out.append(last[n])
+            n -= sizes[n]
+        return out[::-1]
 
     def _made(self, token: int) -> bool:
         """Whether BPE makes this token from its own symbols: its two parts may not have merged otherwise."""
