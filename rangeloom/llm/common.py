@@ -43,15 +43,20 @@ PACKET_SCHEMA = "shard long, block long, payload binary"
 _shipped: set[str] = set()
 
 
+def pack(to: Path) -> None:
+    """The whole package as a zip file: modules of this one import others of the library."""
+    root = Path(__file__).resolve().parents[1]
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once an application: they need no installation."""
     if spark.sparkContext.applicationId in _shipped:
         return
-    root = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for f in (root / "__init__.py", *sorted(Path(__file__).resolve().parent.glob("*.py"))):
-            z.write(f, f.relative_to(root.parent))
+    to = Path(tempfile.mkdtemp()) / "rangeloom.zip"
+    pack(to)
     spark.sparkContext.addPyFile(str(to))
     _shipped.add(spark.sparkContext.applicationId)
 
