@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..sources import shared
 
 
+#: A node with more than one in so many links is a hub.
+HUB_SHARE = 1000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The URI of a folder that all executors share: what the cluster names; a local one only where master is local."""
     sc = spark.sparkContext
@@ -31,10 +35,16 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
 
 
-def _star(pairs: DataFrame, larger: bool) -> DataFrame:
-    """Links each node's larger (or smaller) neighbours to the least of the node and its neighbours."""
-    low = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    joined = pairs.join(low, "u")
+def _star(pairs: DataFrame, total: int, larger: bool) -> DataFrame:
+    """Links each node's larger (or smaller) neighbours to the least of the node and its neighbours.
+
+    `total` bounds the number of pairs. A hub, with more than one in HUB_SHARE of them, gets its least by broadcast: there are
+    fewer than HUB_SHARE hubs, and so no task has all pairs of one.
+    """
+    low = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+    hub = F.col("n") * HUB_SHARE > total
+    hubs = F.broadcast(low.where(hub).select("u", "m"))
+    joined = pairs.join(hubs.select("u"), "u", "left_anti").join(low.where(~hub).select("u", "m"), "u").unionByName(pairs.join(hubs, "u"))
     if larger:
         return joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
     return joined.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
@@ -50,9 +60,10 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     seen = mark(edges)
     while seen[0]:
-        grown = _star(_both(edges), larger=True)
+        total = 2 * seen[0]
+        grown = _star(_both(edges), total, larger=True)
         # edges now go from a larger node to a smaller one; each node's smaller neighbours are its own rows
-        edges = saved(_star(grown.select(F.col("a").alias("u"), F.col("b").alias("v")), larger=False))
+        edges = saved(_star(grown.select(F.col("a").alias("u"), F.col("b").alias("v")), total, larger=False))
         now = mark(edges)
         if now == seen:
             break

@@ -66,7 +66,9 @@ def test_links_of_a_hot_bucket(spark, monkeypatch, radius, most):
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("share", [1000, 5])
+def test_components(spark, monkeypatch, share):
+    monkeypatch.setattr(graph, "HUB_SHARE", share)
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (300, 300)] + [(500, 500 + i) for i in range(1, 60)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[200] == got[100] == 100 and 300 not in got and {got[500 + i] for i in range(60)} == {500}
