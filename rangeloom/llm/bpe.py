@@ -249,8 +249,9 @@ def coder(path: str) -> WordCoder:
 def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """Encodes and decodes every text as the tokenizers library does, without special tokens added.
 
-    A null or empty text has no tokens and decodes to nothing. Each row gives a row. `with_ids` adds
-    the ids and the decoded text.
+    A null or empty text has no tokens and decodes to nothing. Each row gives a row, no rows none. Texts and words
+    of any length are whole; other columns are left behind, whatever their names. `with_ids` adds the ids and the
+    decoded text.
     """
 
     def batch(tables):

@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8_000_000
 U64 = np.uint64
 MULTIPLIER = 0x9E3779B97F4A7C15
-#: The most packets that a block writes, and the most blocks whose packets are merged into one.
-FAN = 512
+#: The most packets that a block writes, and the most blocks whose packets are merged into one: at 8 MB a block, one level
+#: of exchange up to 65 GB of text, with packets of some kB, and two up to 500 TB.
+FAN = 8192
 PACKET_SCHEMA = "shard long, block long, payload binary"
 
 

@@ -145,6 +145,18 @@ def passes(sieve: np.ndarray, key: np.ndarray) -> np.ndarray:
     return np.flatnonzero((sieve[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
 
 
+def hits(readers: list[Reader], sieve: np.ndarray, word: np.ndarray, sizes: np.ndarray, ids: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, keys) of the windows that pass the sieve; `distinct` has the hashes of the words that `ids` number."""
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    found = []
+    for r in readers:
+        opens = np.zeros(len(distinct), bool)  # words that a key may begin with
+        opens[passes(sieve, r.first(distinct))] = True
+        starts = np.flatnonzero(opens[ids])
+        found.append(r.read(word, starts, ends[starts], sieve))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, C.U64))
+
+
 def edits_of(words, similarity: float):
     return np.floor((1 - similarity) * words + 1e-9).astype(np.int64)
 
@@ -220,29 +232,15 @@ class Index:
             out[r.part * PART_BITS // 8 : (r.part + 1) * PART_BITS // 8] = np.frombuffer(r.bits, np.uint8)
         return out
 
-    def readers(self) -> list[Reader]:
-        return [Reader(STEPS, w) for w in range(WALKS * self.walks)] + [Reader(size) for size in self.pieces]
-
-    def hits(self, word: np.ndarray, sizes: np.ndarray, ids: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, keys) of the windows that pass the sieve; `distinct` has the hashes of the words that `ids` number."""
-        ends = np.repeat(np.cumsum(sizes), sizes)
-        found = []
-        for r in self.readers():
-            opens = np.zeros(len(distinct), bool)  # words that a key may begin with
-            opens[passes(self.sieve, r.first(distinct))] = True
-            starts = np.flatnonzero(opens[ids])
-            found.append(r.read(word, starts, ends[starts], self.sieve))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, C.U64))
-
     def regions(self, docs: DataFrame) -> DataFrame:
         """(region, doc, doc_id, text_hash, first, words, keys, places): stretches of documents around windows that passed."""
         reach = self.longest + int(edits_of(self.longest, self.similarity))
-        index = Index.__new__(Index)
-        index.__dict__ = {k: getattr(self, k) for k in ("similarity", "walks", "pieces", "sieve")}
+        sieve, walks, pieces = self.sieve, range(WALKS * self.walks), self.pieces
 
         def batch(tables):
+            readers = [Reader(STEPS, w) for w in walks] + [Reader(size) for size in pieces]
             for t, word, sizes, ids, names in _batches(tables):
-                at, key = index.hits(word, sizes, ids, np.array([xxh64_intdigest(w) for w in names] or [0], C.U64))
+                at, key = hits(readers, sieve, word, sizes, ids, np.array([xxh64_intdigest(w) for w in names] or [0], C.U64))
                 order = np.lexsort((key, at))
                 at, key = at[order], key[order]
                 doc = np.repeat(np.arange(len(sizes)), sizes)[at]

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BINS, WORDS = 128, 5
+#: Text of a range of ids, and the most ranges: beyond some 0.8 TB ranges get longer, 1.5 GB at 100 TB. They are
+#: sorted by Spark, which spills; nothing else of a range is held.
 BUCKET_BYTES, MOST_BUCKETS = 12_000_000, 65_536
 EMPTY = "00" * BINS
 
@@ -112,7 +114,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints every text, and the text with its last third replaced by the next document's beginning.
 
     Null texts are empty; texts without words have a fingerprint of zeros. Each row gives a row; a single
-    row is its own next document.
+    row is its own next document. Rows of one doc_id follow each other by text, a null doc_id comes last. No rows give
+    no rows; texts of any length are whole; other columns are left behind, whatever their names.
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     rows = with_next(docs.withColumn("bits", low_bits(F.col("text"))), ["text", "bits"])

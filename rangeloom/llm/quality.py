@@ -109,7 +109,10 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bins: in
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, max_labelled: int = MAX_LABELLED) -> Trees:
-    """Trees from the labelled rows whose crc32(doc_id) mod `modulus` is not `held`; a null label or id is none."""
+    """Trees from the labelled rows whose crc32(doc_id) mod `modulus` is not `held`; a null label or id is none.
+
+    Every label of a doc_id counts. Without labels of both kinds all texts have one score.
+    """
     docs = C.documents(docs)
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~C.remainder_is("doc_id", modulus, held))
@@ -127,7 +130,10 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, m
 
 
 def classify(docs: DataFrame, trees: Trees, modulus: int = 3, held: int = 1) -> DataFrame:
-    """Scores every text; a null or empty one has the statistics of an empty text."""
+    """Scores every text; a null or empty one has the statistics of an empty text.
+
+    Each row gives a row, no rows none. Texts of any length are whole; other columns are left behind, whatever their names.
+    """
     rows = C.documents(docs).withColumn("held_out", C.remainder_is("doc_id", modulus, held))
 
     def batch(tables):
@@ -139,7 +145,10 @@ def classify(docs: DataFrame, trees: Trees, modulus: int = 3, held: int = 1) ->
 
 
 def keep_good(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
-    """The rows that the trees predict to be good, with all their columns."""
+    """The rows that the trees predict to be good, with all their columns, repeated rows and rows without a doc_id too.
+
+    A null text counts as an empty one; no rows give no rows.
+    """
     C.ship(docs.sparkSession)
 
     def batch(tables):

@@ -134,7 +134,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = 2, length: in
     """
     docs = C.documents(docs)
     parts = C.block_count(docs, block_bytes)
-    ordered = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # a text's first characters sort as the text does, and part rows of one id, or of none
+    ordered = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 16).asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def put(tables):
         from pyspark import TaskContext
