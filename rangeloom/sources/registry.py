@@ -9,6 +9,7 @@ the same way: an insert writes a folder that no version names, and a version the
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from collections.abc import Callable
@@ -81,7 +82,9 @@ class Registry:
         at = self._path(f"{self.root}/registry")
         if not self._fs.exists(at):
             return []
-        return sorted(int(n[2:-5]) for s in self._fs.listStatus(at) if (n := s.getPath().getName()).startswith("v=") and n.endswith(".json"))
+        jvm = self.spark._jvm  # all paths in one text: a call for each would take longer than the listing
+        paths = jvm.org.apache.commons.lang3.ArrayUtils.toString(jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(self._fs.listStatus(at)))
+        return sorted(int(n) for n in re.findall(r"/v=(\d{9,})\.json(?=[,}])", paths))
 
     def load(self) -> State:
         versions = self.versions()
