@@ -12,7 +12,7 @@ bytes or words. Three passes over the documents, each in blocks:
 
 A passage that a third of all documents share reaches its shard once a block. A short string that very
 many documents share, each between other words, would bring as many different contexts to one shard: the
-windows of an anchor with more than HOT occurrences go one by one, each to the shard of its own hash.
+windows of an anchor with HOT such contexts or more go one by one, each to the shard of its own hash.
 Hashes only route: strings are held equal by their bytes.
 """
 
@@ -36,7 +36,7 @@ REACH = WINDOW - GRAM + 1  # grams of a window
 #: Symbols that are hashed at once.
 CHUNK = 500_000
 NULL_ID = -(2**63)  # a null doc_id counts as smaller than every other
-#: Occurrences of an anchor from which on its windows go one by one.
+#: Contexts of an anchor from which on its windows go one by one: unlike ones, counted in each block by their looks.
 HOT = 4_000
 #: Distinct contexts, sorted by anchor (anchors, least ids, whether there are several copies, texts), to spans (context, from, to, least id)
 Engine = Callable[[np.ndarray, np.ndarray, np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -157,6 +157,15 @@ def all_anchors(s: Symbols) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (empty.astype(C.U64), empty, empty, empty)
 
 
+def looks(s: Symbols, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each context's length and of some symbols at both its ends: unlike contexts rarely look alike."""
+    out = (b - a).astype(C.U64)
+    for i in (0, 4, 9):
+        out = out * C.U64(C.MULTIPLIER) + s.value[a + i]
+        out = out * C.U64(C.MULTIPLIER) + s.value[b - 1 - i]
+    return C.mixed(out)
+
+
 def contents(s: Symbols, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of the symbols from each a to b, in order of a."""
     out = np.empty(len(a), C.U64)
@@ -240,7 +249,7 @@ def contexts(s: Symbols, flags: np.ndarray) -> Contexts:
 
 
 def merge_anchors(asked: list[list[np.ndarray]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Entries (anchor, whether several documents have it, how often it occurs)."""
+    """Entries (anchor, whether several documents have it, how many unlike contexts the blocks have)."""
     key, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
     several, counts = np.zeros(len(key), np.uint8), np.zeros(len(key), np.int64)
     several[(np.bincount(at, minlength=len(key)) > 1)] = 1
@@ -268,7 +277,7 @@ def merge_contexts(asked: list[list[C.Column_]]) -> tuple[list[C.Column_], list[
 
 def entries(s: Symbols, c: Contexts) -> list[C.Column_]:
     lo, size = s.bytes_of(c.first, c.last)
-    return [c.key, c.least_id, c.several, C.Ragged(size, np.frombuffer(s.raw, np.uint8)[C.stretches(lo, size)])]
+    return [c.key, c.least_id, c.several, C.Ragged(size, C.gathered(np.frombuffer(s.raw, np.uint8), lo, size))]
 
 
 def found(engine: Engine, merged: list[C.Column_]) -> C.Ragged:
@@ -309,14 +318,18 @@ def remove_repeats(docs: DataFrame, read: Callable[[list[bytes], np.ndarray], Sy
 
     def ask(table: pa.Table) -> pa.Table:
         s = symbols(table)
-        key, doc, *_ = all_anchors(s)
+        key, doc, a, b = all_anchors(s)
         ids = s.ids[doc]
-        order = np.argsort(key, kind="stable")
-        key, ids = key[order], ids[order]
-        lead = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
-        several = (np.minimum.reduceat(ids, lead) < np.maximum.reduceat(ids, lead)) if len(key) else np.empty(0, bool)
-        counts = C.small(np.diff(np.append(lead, len(key))))
-        return C.packets(C.dealt(table["block"][0].as_py(), [key[lead], several.astype(np.uint8), counts], ranges[0]))
+        if not len(key):
+            return C.packets([])
+        look = looks(s, a, b + WINDOW)
+        order = np.lexsort((look, key))
+        key, ids, look = key[order], ids[order], look[order]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        lead = np.flatnonzero(new)
+        several = np.minimum.reduceat(ids, lead) < np.maximum.reduceat(ids, lead)
+        new[1:] |= look[1:] != look[:-1]
+        return C.packets(C.dealt(table["block"][0].as_py(), [key[lead], several.astype(np.uint8), C.small(np.add.reduceat(new, lead, dtype=np.int64))], ranges[0]))
 
     def tell(merged: list[C.Column_]) -> list[C.Column_]:
         return [merged[1] * (1 + 2 * (merged[2] >= HOT)).astype(np.uint8)]

@@ -106,8 +106,7 @@ class Ragged:
 
     def take(self, at: np.ndarray) -> Ragged:
         counts = self.counts[at].astype(np.int64)
-        pick = stretches(self.ends[at] - counts, counts)
-        return Ragged(self.counts[at], *(f[pick] for f in self.flats))
+        return Ragged(self.counts[at], *(gathered(f, self.ends[at] - counts, counts) for f in self.flats))
 
     def texts(self) -> list[bytes]:
         raw, ends = self.flats[0].tobytes(), self.ends.tolist()
@@ -123,6 +122,18 @@ def stretches(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat at stretches(start, size), a million at a time: places take more memory than bytes."""
+    ends, lo = np.cumsum(size, dtype=np.int64), 0
+    out = np.empty(int(ends[-1]) if len(ends) else 0, flat.dtype)
+    while lo < len(ends):
+        base = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + 1_000_000, side="right")))
+        out[base : int(ends[hi - 1])] = flat[stretches(start[lo:hi], size[lo:hi])]
+        lo = hi
+    return out
+
+
 def part(c: Column_, a: int, b: int) -> Column_:
     return c.part(a, b) if isinstance(c, Ragged) else c[a:b]
 
