@@ -275,9 +275,10 @@ def keep_first(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
     distinct = graph.saved(sketches(named, words, radius).groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     dealt = distinct.select("node", F.explode("keys").alias("k"))
     low = graph.saved(dealt.groupBy("k").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "b"))
-    candidates = graph.components(dealt.join(low, "k").where("node <> b").select(F.col("node").alias("a"), "b"))
+    # the links of a hub aren't split: with that the executors of the tool run out of memory (README)
+    candidates = graph.components(dealt.join(low, "k").where("node <> b").select(F.col("node").alias("a"), "b"), split_hubs=False)
     groups = graph.saved(distinct.drop("keys").join(candidates, "node").select("least.doc_id", "node", "n", "root"))
-    roots = graph.components(confirmed(named, groups, words))
+    roots = graph.components(confirmed(named, groups, words), split_hubs=False)
     joined = distinct.select("least", "node").join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     kept = joined.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
     rows = docs.select("*", docs["doc_id"].cast("long").alias("__id"), F.xxhash64(docs["text"].cast("string")).alias("__row"))
