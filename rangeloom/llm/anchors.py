@@ -351,11 +351,11 @@ def remove_repeats(docs: DataFrame, read: Callable[[list[bytes], np.ndarray], Sy
         got = C.columns_of(answers.filter(pc.equal(answers["answer"], "spans")))
         return pa.table({"doc_id": table["doc_id"].combine_chunks()} | ({"rest": table["rest"]} if others else {}) | finish(s, covered(s, c, got[0] if got else None)))
 
-    flags, _ = C.exchange(rows.groupBy("block").applyInArrow(ask, C.PACKET_SCHEMA), blocks, ranges, merge_anchors, tell, fan=fan)
-    sent = rows.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(send, C.PACKET_SCHEMA)
+    flags, _ = C.exchange(rows.groupBy("block").applyInArrow(C.tidy(ask), C.PACKET_SCHEMA), blocks, ranges, merge_anchors, tell, fan=fan)
+    sent = rows.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(C.tidy(send), C.PACKET_SCHEMA)
     spans, _ = C.exchange(sent, blocks, ranges, merge_contexts, compare, fan=fan)
     answers = flags.withColumn("answer", F.lit("flags")).unionAll(spans.withColumn("answer", F.lit("spans")))
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remove, schema)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(C.tidy(remove), schema)
 
 
 def runs(removed: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

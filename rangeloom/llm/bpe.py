@@ -236,14 +236,9 @@ class WordCoder:
         return " ".join([self.labels[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-_coders: dict[str, WordCoder] = {}
-
-
 def coder(path: str) -> WordCoder:
-    """One a worker; the file is part of the installed tokenizers, on every machine."""
-    if path not in _coders:
-        _coders[path] = WordCoder(path)
-    return _coders[path]
+    """One a worker, while it encodes; the file is part of the installed tokenizers, on every machine."""
+    return C.held("bpe", path, WordCoder)
 
 
 def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
@@ -264,4 +259,4 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                 out |= {"ids": pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())), "decoded": texts}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.string()) if k in ("ids_sha256", "decoded_sha256", "decoded") else v for k, v in out.items()})
 
-    return C.documents(docs).mapInArrow(batch, SCHEMA + ", ids array<int>, decoded string" * with_ids)
+    return C.documents(docs).mapInArrow(C.tidy(batch, "bpe"), SCHEMA + ", ids array<int>, decoded string" * with_ids)

@@ -20,6 +20,9 @@ recomputed from lineage.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import inspect
 import pickle
 import tempfile
 import zipfile
@@ -62,6 +65,66 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(spark.sparkContext.applicationId)
 
 
+#: What operators keep in a worker from task to task.
+_held: dict[tuple[str, str], object] = {}
+
+
+def held(operator: str, path: str, make: Callable[[str], object]):
+    """make(path), kept in this worker until a task of another operator comes (see tidy)."""
+    if (operator, path) not in _held:
+        _held[operator, path] = make(path)
+    return _held[operator, path]
+
+
+def let_go(operator: str) -> None:
+    """Drops what other operators keep."""
+    if others := [k for k in _held if k[0] != operator]:
+        for k in others:
+            del _held[k]
+        gc.collect()  # such values refer to themselves
+
+
+def give_back() -> None:
+    """Hands memory that is free back to the system: a worker that is used again would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
+def tidy(f: Callable, operator: str = "") -> Callable:
+    """f for mapInArrow or applyInArrow. A worker serves one operator after the other, so it keeps `operator`'s values alone, and no free memory."""
+    if inspect.isgeneratorfunction(f):
+
+        def run(tables):
+            let_go(operator)
+            try:
+                yield from f(tables)
+            finally:
+                give_back()
+
+    elif len(inspect.signature(f).parameters) == 1:
+
+        def run(table: pa.Table) -> pa.Table:
+            let_go(operator)
+            try:
+                return f(table)
+            finally:
+                give_back()
+
+    else:
+
+        def run(table: pa.Table, other: pa.Table) -> pa.Table:
+            let_go(operator)
+            try:
+                return f(table, other)
+            finally:
+                give_back()
+
+    return run
+
+
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that operators read, by name; extra or clashing columns are left behind."""
     ship(docs.sparkSession)

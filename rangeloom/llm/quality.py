@@ -155,4 +155,4 @@ def keep_good(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFram
         for t in C.slices(tables):
             yield t.filter(pa.array(trees.score(features(C.encoded(pa.chunked_array([t.column(text_col)])))) >= 0.5))
 
-    return docs.mapInArrow(batch, docs.schema)
+    return docs.mapInArrow(C.tidy(batch), docs.schema)

@@ -200,7 +200,7 @@ def sketches(docs: DataFrame, words: int, radius: int) -> DataFrame:
                 rows.append((_node(distinct), len(distinct), _keys(hashes, distinct, at) if len(distinct) else []))
             yield pa.record_batch({"doc_id": t.column("doc_id"), "row": t.column("row"), "node": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.list_(pa.int64()))})
 
-    return C.documents(docs).withColumn("row", F.xxhash64("text")).mapInArrow(batch, "doc_id long, row long, node long, n long, keys array<long>")
+    return C.documents(docs).withColumn("row", F.xxhash64("text")).mapInArrow(C.tidy(batch), "doc_id long, row long, node long, n long, keys array<long>")
 
 
 def alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -259,7 +259,7 @@ def confirmed(docs: DataFrame, groups: DataFrame, words: int) -> DataFrame:
                 found += [(nodes[a], nodes[b]) for a, b in alike(list(sets.values()))]
         return pa.table({"a": pa.array([e[0] for e in found], pa.int64()), "b": pa.array([e[1] for e in found], pa.int64())})
 
-    return C.documents(docs).join(where, "doc_id").groupBy("g", "i", "j").applyInArrow(search, "a long, b long")
+    return C.documents(docs).join(where, "doc_id").groupBy("g", "i", "j").applyInArrow(C.tidy(search), "a long, b long")
 
 
 def keep_first(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
