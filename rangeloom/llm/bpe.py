@@ -42,6 +42,8 @@ WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+
 #: Bytes of pieces of text that are kept encoded.
 CACHE = 16_000_000
 MOST_ARCS = 400_000
+#: Texts that are encoded at once: with ids and decoded texts they take a multiple of their size.
+SLICE_ROWS = 250
 
 
 @dataclass
@@ -251,7 +253,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 
     def batch(tables):
         c = coder(path)
-        for t in C.slices(tables):
+        for t in C.slices(tables, SLICE_ROWS):
             ids = [c.encode(x) for x in C.encoded(pa.chunked_array([t.column("text")]))]
             texts = [c.decode(x) for x in ids]
             out = {"doc_id": t.column("doc_id"), "n_tokens": np.array([len(x) // 4 for x in ids], np.int64), "ids_sha256": [sha256(x).hexdigest() for x in ids], "decoded_sha256": [sha256(x.encode()).hexdigest() for x in texts]}
