@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranges import range_index
+from ..functions.ranges import listed, range_index
 from ..types import KeyType, NotPartitioned, Partition
 
 PARTITION = "__partition"
@@ -21,7 +21,7 @@ def partition_of(partitions: list[Partition]) -> Column:
         raise NotPartitioned("there are no bounds to route by")
     kind = "long" if ps[0].type is KeyType.INT else "timestamp_ntz"
     at = range_index(F.col(ps[0].key_column).cast(kind), [p.lower for p in ps], [p.upper for p in ps], kind)
-    name = F.get(F.array(*[F.lit(p.partition_name) for p in ps]), at)
+    name = F.get(listed([p.partition_name for p in ps], "string"), at)
     return F.coalesce(name, F.lit(spare[0])) if spare else name
 
 

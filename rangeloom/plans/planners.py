@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import Interval, plus
-from ..functions.ranges import range_index
+from ..functions.ranges import listed, range_index
 from ..types import KeyType, NotPartitioned, Partition, PartitionError, fold
 
 HEADROOM = 2  # partitions kept beyond the configured number
@@ -92,8 +92,7 @@ def partition_statistics(data: DataFrame, partitions: list[Partition], column: s
     at = range_index(key, [p.lower for p in ps], [p.upper for p in ps], kind)
     values = [F.min("value").alias("low"), F.max("value").alias("high")] if column else []
     stats = data.select(at.alias("at"), key.alias("key"), *([F.col(column).alias("value")] if column else [])).where("at is not null").groupBy("at").agg(F.count(F.lit(1)).alias("rows"), F.max("key").alias("max_key"), *values)
-    names = F.array(*[F.lit(p.partition_name) for p in ps])
-    return stats.select(F.get(names, F.col("at")).alias("partition_name"), "rows", "max_key", *(["low", "high"] if column else []), "at")
+    return stats.select(F.get(listed([p.partition_name for p in ps], "string"), F.col("at")).alias("partition_name"), "rows", "max_key", *(["low", "high"] if column else []), "at")
 
 
 def date_constraints(data: DataFrame, partitions: list[Partition], column: str) -> DataFrame:
@@ -103,8 +102,7 @@ def date_constraints(data: DataFrame, partitions: list[Partition], column: str)
     """
     ps = sorted(p for p in partitions if p.lower is not None)
     stats = partition_statistics(data, ps, column)
-    bound = lambda of: F.get(F.array(*[F.lit(of(p)).cast("long") for p in ps]), F.col("at"))
-    lower, upper = bound(lambda p: p.lower), bound(lambda p: p.upper)
+    lower, upper = (F.get(listed(bounds, "long"), F.col("at")) for bounds in ([p.lower for p in ps], [p.upper for p in ps]))
     return stats.select("partition_name", lower.alias("lower_bound"), upper.alias("upper_bound"), "rows", F.col("low").alias("min_value"), F.when(F.col("max_key") == upper - 1, F.col("high")).alias("max_value"))
 
 

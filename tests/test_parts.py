@@ -69,6 +69,53 @@ def test_range_index(spark):
             assert x["at"] == (want[0] if want else None)
 
 
+def test_range_index_of_runs(spark):
+    """Ranges of one width that follow each other, gaps, single ranges and the ends of the type, mixed."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    least, most = -(1 << 63), (1 << 63) - 1
+    layouts_ = [([least, 0], [0, most]), ([least, least + 5, most - 9, most - 6], [least + 5, least + 10, most - 6, most - 3]), ([0, 1 << 62], [1 << 62, most])]
+    for _ in range(8):
+        at, bounds = r.randrange(-60, 0), []
+        for _ in range(r.randrange(1, 7)):
+            width = r.choice([1, 2, 5, 5, 9])
+            for _ in range(r.choice([1, 1, 2, 3, 12])):
+                bounds.append((at, at + width))
+                at += width
+            at += r.choice([0, 0, 3, 11])
+        layouts_.append(tuple(map(list, zip(*bounds))))
+    for lowers, uppers in layouts_:
+        keys = {k for b in (*lowers, *uppers) for k in (b - 1, b, b + 1) if least <= k <= most} | {least, most, *range(-70, 70)}
+        got = spark.createDataFrame([(k,) for k in [*keys, None]], "k long").select("k", range_index(F.col("k"), lowers, uppers, "long").alias("at")).collect()
+        for x in got:
+            want = [i for i in range(len(lowers)) if x.k is not None and lowers[i] <= x.k < uppers[i]]
+            assert x["at"] == (want[0] if want else None)
+
+
+@pytest.mark.parametrize("steps", ["even", "uneven"])
+def test_many_partitions_take_few_literals(spark, monkeypatch, steps):
+    """A literal for each bound and name takes most of the time beyond some thousand partitions."""
+    from pyspark.sql import functions as F
+
+    n = 3000
+    width = (lambda i: 10) if steps == "even" else (lambda i: 9 + i % 3)
+    at, ps = 0, []
+    for i in range(n):
+        ps.append(Partition("s", "t", f"t_{at}_{at + width(i)}", "k", "int", at, at + width(i)))
+        at += width(i)
+    literals, lit = [], F.lit
+    data = spark.range(-5, at + 5).select(F.col("id").alias("k"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("d"))
+    monkeypatch.setattr(F, "lit", lambda x: literals.append(x) or lit(x))
+    bounds, routed = planners.date_constraints(data, ps, "d"), routing.route(data, ps)
+    assert len(literals) < 100
+    found = {r.partition_name: r for r in bounds.collect()}
+    second = lambda k: datetime(1970, 1, 1) + timedelta(seconds=k)
+    assert {name: tuple(r[1:]) for name, r in found.items()} == {p.partition_name: (p.lower, p.upper, p.upper - p.lower, second(p.lower), second(p.upper - 1)) for p in ps}
+    counts = {r[0]: r[1] for r in routed.groupBy(routing.PARTITION).count().collect()}
+    assert counts == {p.partition_name: p.upper - p.lower for p in ps} | {None: 10}
+
+
 def test_names():
     assert suffix(KeyType.INT, -3000, -2000) == "m3000_m2000"
     assert range_of("t_r10_1_2", "t") == "r10" and range_of("t_1_2", "t") is None and range_of("u_r1_1_2", "t") is None
