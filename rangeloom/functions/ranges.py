@@ -42,8 +42,9 @@ def range_index(key: Column, lowers: Sequence, uppers: Sequence, kind: str) -> C
     ends = [i for i, _ in runs[1:]] + [len(lowers)]
     low, high = listed([lowers[i] for i, _ in runs], kind), listed([uppers[i - 1] for i in ends], kind)
     steps = [1 << i for i in reversed(range(len(runs).bit_length()))]
-    # bounds at or below the key, so far; a step is taken if the bound it leads to is one of them
-    count = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda a, s: F.when(F.coalesce(F.get(low, a + s - 1) <= key, F.lit(False)), a + s).otherwise(a))
+    # bounds at or below the key, so far; a step is taken if the bound it leads to is one of them. Over local rows Spark
+    # evaluates this before constants are folded, so the bounds are taken apart once a row and not once a step
+    count = F.transform(F.array(low), lambda b: F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda a, s: F.when(F.coalesce(F.get(b, a + s - 1) <= key, F.lit(False)), a + s).otherwise(a)))[0]
     if any(width for _, width in runs):
         first, width = listed([i for i, _ in runs], "int"), listed([w for _, w in runs], "long")
         place = lambda r: F.get(first, r) + F.when(F.get(width, r) > 0, F.call_function("div", key - F.get(low, r), F.get(width, r)).cast("int")).otherwise(0)
